@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm import packing, token_orc, warc
+from pricelore.llm import packing, simhash, token_orc, toxicity, warc
 from pricelore.llm.common import fresh_path, table
 
 
@@ -30,6 +30,16 @@ def word_ids(texts: list[str | None]) -> list[bytes]:
     return word_encoder(vocabulary("word_bpe_49k.json"))(texts)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -48,5 +58,5 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc(token_orc.read_tokens(spark, path))
 
 
-QUERIES = {"op5_warc": op5_warc, "op9_packing": op9_packing, "op10_orc": op10_orc}
+QUERIES = {"op3_simhash": op3_simhash, "op8_toxicity": op8_toxicity, "op5_warc": op5_warc, "op9_packing": op9_packing, "op10_orc": op10_orc}
 ORACLES: dict[str, str] = {}
