@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm import licenses, packing, quality, simhash, token_orc, toxicity, warc
+from pricelore.llm import licenses, lm_scoring, mixing, packing, quality, simhash, token_orc, toxicity, warc
 from pricelore.llm.common import fresh_path, table
 
 
@@ -39,6 +39,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.model(docs))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -67,5 +76,5 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc(token_orc.read_tokens(spark, path))
 
 
-QUERIES = {"op7_quality": op7_quality, "op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op8_toxicity": op8_toxicity, "op5_warc": op5_warc, "op9_packing": op9_packing, "op10_orc": op10_orc}
+QUERIES = {"op4_lm": op4_lm, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op2_licenses": op2_licenses, "op3_simhash": op3_simhash, "op8_toxicity": op8_toxicity, "op5_warc": op5_warc, "op9_packing": op9_packing, "op10_orc": op10_orc}
 ORACLES: dict[str, str] = {}
