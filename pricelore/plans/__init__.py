@@ -1 +1,8 @@
-"""Price-intelligence analytics on Spark."""
+"""All registered queries of the price-intelligence operators."""
+
+from __future__ import annotations
+
+from pricelore.plans import prices
+
+QUERIES = {**prices.QUERIES}
+ORACLES = {**prices.ORACLES}
