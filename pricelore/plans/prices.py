@@ -5,22 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricelore.operators import prices as op
-from pricelore.sources.views import AS_OF, PLATFORMS, VIEWS_SQL, Domain, public_sql
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of a Domain as a query, with the SQL after the views."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
-        if sql is not None:
-            ORACLES[f.__name__] = VIEWS_SQL + sql
-        return f
-
-    return add
+from pricelore.plans.base import Registry
+from pricelore.sources.views import AS_OF, PLATFORMS, Domain, public_sql
 
+registry = Registry()
+query = registry.query
 
 PIVOT = ", ".join(f"min(CASE WHEN platform = '{p}' THEN min_price END) AS {p}_price" for p in PLATFORMS[:4])
 DAYS = f"""days AS (SELECT product_id, day, {PIVOT}, min(min_price) AS best_price, first(platform ORDER BY min_price, platform) AS best_platform,
