@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,150 @@ def useful_facets(counts: DataFrame, n_rows: int, always: tuple[str, ...] = ("br
 def top_facets(counts: DataFrame, most: int) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
     return counts.withColumn("position", rn.cast("long")).where(F.col("position") <= most)
+
+
+def similar_products(seeds: DataFrame, best: DataFrame, peers: DataFrame, low: int = 55, high: int = 180, most: int = 8) -> DataFrame:
+    """Products of the seed's category and in its price range (low..high %), but not of its own group; nearest brand and price first.
+
+    seeds, best: product_id, category, brand, best_price; peers: product_id, peer_id. Prices are banded by powers of two, so
+    that a seed meets only the bands that its range touches instead of its whole category.
+    """
+    band = lambda c: F.floor(F.log2(c)).cast("int")
+    s = seeds.where("best_price > 0").select(F.col("product_id").alias("seed"), "category", F.col("brand").alias("seed_brand"), F.col("best_price").alias("seed_price"))
+    s = s.withColumn("band", F.explode(F.sequence(band(F.col("seed_price") * low / 100), band(F.col("seed_price") * high / 100))))
+    rows = best.where("best_price > 0").withColumn("band", band(F.col("best_price")))
+    near = s.join(rows, ["category", "band"]).where((F.col("seed") != F.col("product_id")) & (F.col("best_price") * 100 >= F.col("seed_price") * low) & (F.col("best_price") * 100 <= F.col("seed_price") * high))
+    near = near.join(peers.select(F.col("product_id").alias("seed"), F.col("peer_id").alias("product_id")), ["seed", "product_id"], "left_anti")
+    order = [(F.col("brand") != F.col("seed_brand")).asc(), F.abs(F.col("best_price") - F.col("seed_price")).asc(), F.col("product_id").asc()]
+    rn = F.row_number().over(Window.partitionBy("seed").orderBy(*order))
+    return near.withColumn("position", rn.cast("long")).where(F.col("position") <= most).select("seed", "product_id", "best_price", "position")
+
+
+def variant_groups(products: DataFrame) -> DataFrame:
+    """Active products of one category, brand and title form a group if there are two or more: group_id, product_id, n."""
+    key = F.concat_ws("|", "category", "brand", F.lower(F.trim("title")))
+    rows = products.where("status = 'active'").withColumn("group_id", F.substring(F.sha2(key, 256), 1, 16))
+    sizes = rows.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, "group_id").select("group_id", "product_id", "n")
+
+
+def variant_peers(groups: DataFrame, most: int = 12) -> DataFrame:
+    """Each product's next members of its group, by id; no member meets more than `most` others."""
+    order = Window.partitionBy("group_id").orderBy("product_id")
+    members = groups.select("group_id", "product_id", F.lead("product_id", 1).over(order).alias("l1"), *(F.lead("product_id", i).over(order).alias(f"l{i}") for i in range(2, most + 1)))
+    return members.select("product_id", F.explode(F.array_compact(F.array(*(f"l{i}" for i in range(1, most + 1))))).alias("peer_id"))
+
+
+def compare_set(ids: list[int], best: DataFrame, products: DataFrame, most: int = 4) -> DataFrame:
+    """The first `most` ids with their state: missing, skipped (of another category than the first found) or compared."""
+    wanted = products.sparkSession.createDataFrame([(i, p) for p, i in enumerate(dict.fromkeys(ids), 1)][:most], "product_id long, position long")
+    rows = wanted.join(products.select("product_id", "category", "status"), "product_id", "left").join(best.select("product_id", "best_price"), "product_id", "left")
+    found = F.when(F.col("status") == "active", F.struct("position", "category"))
+    first = F.min(found).over(Window.partitionBy(F.lit(0)))["category"]  # at most `most` rows
+    rows = rows.withColumn("first", first)
+    state = F.when(F.col("status").isNull() | (F.col("status") != "active"), "missing").when(F.col("category") != F.col("first"), "skipped").otherwise("compared")
+    return rows.select("position", "product_id", "category", "best_price", state.alias("state"))
+
+
+def resolve_roots(pointers: DataFrame, most: int = 12) -> DataFrame:
+    """Follows duplicate_of from each row to its root, `most` steps at most: product_id, root, depth, looped.
+
+    pointers: product_id, duplicate_of (null at a root). Each step is one join on the rows that still move.
+    """
+    step = pointers.select(F.col("product_id").alias("at"), F.col("duplicate_of").alias("next"))
+    rows = pointers.select("product_id", F.col("product_id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("looped"))
+    for _ in range(most):
+        rows = rows.join(step, F.col("root") == F.col("at"), "left")
+        rows = rows.select(
+            "product_id", F.when(~F.col("looped") & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("root")).alias("root"),
+            (F.col("depth") + F.when(~F.col("looped") & F.col("next").isNotNull(), 1).otherwise(0)).alias("depth"), (F.col("looped") | F.coalesce(F.col("next") == F.col("product_id"), F.lit(False))).alias("looped"),
+        )
+    return rows
+
+
+def search_documents(products: DataFrame, best: DataFrame, listings: DataFrame) -> DataFrame:
+    """One document of each active product: prices, counts, text and its different words."""
+    seen = listings.groupBy("product_id").agg(F.count("*").alias("n_listings"), F.max("last_seen").alias("last_seen"))
+    text = F.lower(F.concat_ws(" ", "category", "brand", "title", F.col("size").cast("string"), "color"))
+    rows = products.where("status = 'active'").withColumn("search_text", text)
+    rows = rows.join(best.select("product_id", "best_price", "best_platform", "platform_count"), "product_id", "left").join(seen, "product_id", "left")
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split("search_text", "[^a-z0-9]+"), lambda t: t != "")))
+    return rows.withColumn("tokens", tokens).withColumn("n_listings", F.coalesce("n_listings", F.lit(0).cast("long")))
+
+
+def trigrams(text: Column) -> Column:
+    """The different trigrams of a text: lower-cased words, with two blanks before and one after each."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(words, grams)))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Shared trigrams over all trigrams; 0 for two empty sets."""
+    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    return F.when(either > 0, both / either).otherwise(0.0)
+
+
+def similar_titles(texts: DataFrame, least: float = 0.3) -> DataFrame:
+    """Pairs of texts (id, block, text) of one block with a trigram similarity of `least` or more.
+
+    Shared trigrams are counted by a join on block and trigram; rare trigrams first: of a text with n trigrams, two similar
+    ones must share one of the first n - ceil(least * n) + 1 in the order of rarity, so only these are posted.
+    """
+    rows = texts.select("id", "block", trigrams(F.col("text")).alias("grams")).where("size(grams) > 0")
+    each = rows.select("id", "block", F.explode("grams").alias("gram"))
+    frequency = each.groupBy("block", "gram").agg(F.count("*").alias("n"))
+    ranked = each.join(frequency, ["block", "gram"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by"))
+    ranked = ranked.withColumn("prefix", F.slice("by.gram", 1, F.size("by") - F.ceil(F.size("by") * least).cast("int") + 1)).withColumn("grams", F.col("by.gram"))
+    posted = ranked.select("id", "block", F.size("grams").alias("size"), F.explode("prefix").alias("gram"))
+    a, b = posted.alias("a"), posted.alias("b")
+    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("b.size") >= F.col("a.size") * least) & (F.col("a.size") >= F.col("b.size") * least)
+    pairs = a.join(b, on).select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
+    of = lambda side: ranked.select(F.col("id").alias(side), F.col("grams").alias(f"{side}_grams"))
+    found = pairs.join(of("left"), "left").join(of("right"), "right").withColumn("similarity", similarity(F.col("left_grams"), F.col("right_grams")))
+    return found.where(F.col("similarity") >= least).select("left", "right", F.round("similarity", 6).alias("similarity"))
+
+
+def candidate_pools(pools: dict[str, DataFrame], most: int) -> DataFrame:
+    """Union of candidates from several sources (listing_id, product_id, similarity), each named, in the order given.
+
+    A candidate keeps its best similarity and all its sources; the `most` first by the first source, then similarity.
+    """
+    out = None
+    for rank, (name, rows) in enumerate(pools.items()):
+        part = rows.select("listing_id", "product_id", "similarity", F.lit(name).alias("source"), F.lit(rank).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    by = out.groupBy("listing_id", "product_id").agg(F.max("similarity").alias("similarity"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("rank").alias("rank"))
+    rn = F.row_number().over(Window.partitionBy("listing_id").orderBy("rank", F.desc("similarity"), "product_id"))
+    return by.withColumn("position", rn.cast("long")).where(F.col("position") <= most)
+
+
+def choose_match(candidates: DataFrame, review: float = 70.0) -> DataFrame:
+    """The first candidate that may be merged, in order of position; else the best one of score `review` or more; else none.
+
+    candidates: listing_id, product_id, position, score, may_merge.
+    """
+    order = Window.partitionBy("listing_id").orderBy(F.desc("may_merge"), F.when(F.col("may_merge"), F.col("position")).asc_nulls_last(), F.desc("score"), "position")
+    best = candidates.withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    state = F.when(F.col("may_merge"), "matched").when(F.col("score") >= review, "needs_review").otherwise("unmatched")
+    return best.select("listing_id", F.when(state != "unmatched", F.col("product_id")).alias("product_id"), "score", state.alias("state"))
+
+
+def search(documents: DataFrame, query: str, category: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """Ranked documents for a query: shared words, phrase and trigram similarity, availability; with a match group.
+
+    exact: every word occurs; variant: half of them; else related. Ties go to the smaller id.
+    """
+    w = {"words": 40.0, "phrase": 25.0, "similarity": 20.0, "stores": 10.0, "price": 5.0} | (weights or {})
+    wanted = sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split() if t})
+    q = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+    rows = documents if category is None else documents.where(F.col("category") == category)
+    share = F.size(F.array_intersect("tokens", q)) / F.lit(max(1, len(wanted)))
+    near = similarity(trigrams(F.col("search_text")), trigrams(F.lit(query)))
+    rows = rows.withColumns({"word_share": share, "near": near, "phrase": F.col("search_text").contains(query.lower())}).where((F.col("word_share") > 0) | (F.col("near") >= 0.1))
+    score = (
+        w["words"] * F.col("word_share") + w["phrase"] * F.col("phrase").cast("int") + w["similarity"] * F.col("near")
+        + w["stores"] * F.least(F.coalesce("platform_count", F.lit(0)), F.lit(5)) / 5 + w["price"] * F.col("best_price").isNotNull().cast("int")
+    )
+    group = F.when(F.col("word_share") == 1, "exact").when(F.col("word_share") >= 0.5, "variant").otherwise("related")
+    return rows.select("product_id", "category", "best_price", group.alias("match_group"), F.round(score, 4).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricelore.plans import activity, prices, rails
+from pricelore.plans import activity, catalog, prices, rails
 
-QUERIES = {k: v for m in (prices, rails, activity) for k, v in m.registry.queries.items()}
-ORACLES = {k: v for m in (prices, rails, activity) for k, v in m.registry.oracles.items()}
+QUERIES = {k: v for m in (prices, rails, activity, catalog) for k, v in m.registry.queries.items()}
+ORACLES = {k: v for m in (prices, rails, activity, catalog) for k, v in m.registry.oracles.items()}
