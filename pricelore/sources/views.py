@@ -105,6 +105,23 @@ class Domain:
             F.min(F.call_function("div", F.round(F.col("o_totalprice") * 100).cast("long"), F.lit(100))).alias("target"), F.bool_or(F.col("o_orderpriority").like("%-%")).alias("notify_on_drop")
         )
 
+    @cached_property
+    def tasks(self) -> DataFrame:
+        """task_id, platform, status, priority, attempts, scheduled_at, created_at, leased_at: the work queue, out of the orders."""
+        o = self.table("orders")
+        status = F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 7 == 0, "dead").otherwise("completed")).when(F.col("o_orderstatus") == "O", "pending").otherwise("running")
+        return o.select(
+            F.col("o_orderkey").alias("task_id"), nth(PLATFORMS, F.col("o_custkey")).alias("platform"), status.alias("status"),
+            F.substring("o_orderpriority", 1, 1).cast("long").alias("priority"), (F.col("o_orderkey") % 5).alias("attempts"), F.col("o_orderdate").alias("scheduled_at"),
+            (F.col("o_orderdate") - F.expr("INTERVAL 2 HOURS")).alias("created_at"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate")).alias("leased_at"),
+        )
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        """check_id, ts, platform, product_id, ok, latency: live verifications, out of the events."""
+        a = self.activity.join(self.table("events").select("event_id", "user_id"), "event_id")
+        return a.select(F.col("event_id").alias("check_id"), "ts", nth(PLATFORMS, F.col("user_id")).alias("platform"), "product_id", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+
 
 #: The same views for DuckDB, to stand before a query.
 VIEWS_SQL = f"""
@@ -141,7 +158,17 @@ searches AS (
   FROM activity),
 watches AS (
   SELECT o_custkey AS user_id, o_orderkey AS product_id, min(CAST(round(o_totalprice * 100) AS BIGINT) // 100) AS target, bool_or(o_orderpriority LIKE '%-%') AS notify_on_drop
-  FROM orders GROUP BY o_custkey, o_orderkey)
+  FROM orders GROUP BY o_custkey, o_orderkey),
+tasks AS (
+  SELECT o_orderkey AS task_id, {sql_nth(PLATFORMS, "o_custkey")} AS platform,
+    CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'dead' ELSE 'completed' END WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'running' END AS status,
+    CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS priority, o_orderkey % 5 AS attempts, o_orderdate AS scheduled_at, o_orderdate - INTERVAL 2 HOUR AS created_at,
+    CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS leased_at
+  FROM orders),
+checks AS (
+  SELECT event_id AS check_id, ts, {sql_nth(PLATFORMS, "user_id")} AS platform, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, event_type <> 'error' AS ok,
+    CAST(round(value * 100) AS BIGINT) AS latency
+  FROM events)
 """
 
 
