@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on at most: so many of each label, chosen by a hash of their ids.
-TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 5_000
-#: Characters of the labelled documents that are fitted on, in all.
-TRAIN_CHARS = 40_000_000
+#: Labelled documents that the model is fitted on at most: so many of each label, chosen by a hash of their ids, out of those
+#: of so many characters at most.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 4_000, 6_000
 FEATURES = 1 << 18
 #: Words whose weights a Python worker remembers.
 REMEMBERED = 500_000
@@ -66,24 +66,32 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.1
     are left out.
     """
     known: dict[bytes, int] = {}
-    word_of, sentence_of, doc_of = [], [], []
+    word_of, sentence_of, doc_of = array("i"), array("i"), array("i")
     for doc, text in enumerate(texts):
         for part in sentences(text or ""):
             if words := part.split():
-                word_of += [known.setdefault(w, len(known)) for w in words]
-                sentence_of += [len(doc_of)] * len(words)
+                word_of.extend(known.setdefault(w, len(known)) for w in words)
+                sentence_of.extend([len(doc_of)] * len(words))
                 doc_of.append(doc)
     none = Model(np.zeros(FEATURES, dtype=np.float32), -20.0)
     if not doc_of or not any(labels):
         return none
-    words, sentence, doc = np.array(word_of), np.array(sentence_of), np.array(doc_of)
-    of_word = [features(w) for w in known]
-    sizes = np.array([len(f) for f in of_word])
-    owner, feature = np.repeat(np.arange(len(of_word)), sizes), np.concatenate([np.array(f) for f in of_word])
-    seen = np.unique(doc[sentence] * len(known) + words)  # a document's different words
-    begin, many = (np.cumsum(sizes) - sizes)[seen % len(known)], sizes[seen % len(known)]
-    at = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
-    in_docs = np.bincount(np.unique(np.repeat(seen // len(known), many) * FEATURES + feature[at]) % FEATURES, minlength=FEATURES)
+    words, sentence, doc = (np.frombuffer(x, dtype=np.int32) for x in (word_of, sentence_of, doc_of))
+    flat, each = array("i"), array("i")
+    for w in known:
+        found = features(w)
+        flat.extend(found)
+        each.append(len(found))
+    n_words, sizes, feature = len(known), np.frombuffer(each, dtype=np.int32), np.frombuffer(flat, dtype=np.int32)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
+    del known
+    first, in_docs = np.cumsum(sizes) - sizes, np.zeros(FEATURES, dtype=np.int64)
+    ends = np.searchsorted(doc[sentence], np.arange(len(texts) + 1))
+    for i in range(len(texts)):
+        own = np.unique(words[ends[i] : ends[i + 1]])
+        many = sizes[own]
+        at = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        in_docs[np.unique(feature[at])] += 1
     keep = in_docs[feature] >= least_docs
     owner, feature = owner[keep], feature[keep]
     if not len(feature):
@@ -93,12 +101,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = 80, rate: float = 0.1
     w, b = np.zeros(len(used)), -5.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, epochs + 1):
-        by_word = np.bincount(owner, w[feature], minlength=len(of_word))
+        by_word = np.bincount(owner, w[feature], minlength=n_words)
         z = np.bincount(sentence, by_word[words], minlength=len(doc)) + b
         hazard = np.bincount(doc, np.logaddexp(0, z), minlength=len(y))
         slope = np.where(y, -1 / np.expm1(np.clip(hazard, 1e-6, 50)), 1.0) / len(y)
         by_sentence = slope[doc] / (1 + np.exp(-np.clip(z, -50, 50)))
-        back = np.bincount(words, by_sentence[sentence], minlength=len(of_word))
+        back = np.bincount(words, by_sentence[sentence], minlength=n_words)
         grad = np.append(np.bincount(feature, back[owner], minlength=len(used)), by_sentence.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
@@ -116,18 +124,22 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
-    """A model from at most `toxic` and `clean` labelled documents outside of the held-out ids.
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> Model:
+    """A model from at most `toxic` and `clean` labelled documents, of at most `chars` characters, outside of the held-out ids.
 
-    Of a document with several labels the highest counts; labels without an id or value are left out.
+    Of a document with several labels the highest counts; labels without an id or value are left out. Of rows with one
+    id, the smallest text counts.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     order = F.xxhash64("doc_id")
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(clean))
-    ids = docs.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, toxic int")  # toxic + clean rows at most
-    rows = docs.select("doc_id", F.substring(F.col("text"), 1, TRAIN_CHARS // (toxic + clean)).alias("text")).join(F.broadcast(ids), "doc_id")
-    found = sorted(((r.doc_id, r.text or "", r.toxic) for r in rows.collect()), key=lambda r: (r[0], r[1]))[: 2 * (toxic + clean)]
-    return fit([t for _, t, _ in found], [y for _, _, y in found])
+    # twice the documents, as some are too long
+    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(2 * toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * clean))
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, toxic int")
+    rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    fitted = rows.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(rows.where("toxic = 0").orderBy(order, "doc_id").limit(clean))
+    found = [(r.text, r.toxic) for r in fitted.collect()]
+    return fit([t for t, _ in found], [y for _, y in found])
 
 
 @lru_cache(maxsize=2)
