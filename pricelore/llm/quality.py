@@ -130,7 +130,7 @@ def references(measured: DataFrame, common: dict[str, list[str]]) -> References:
     lang = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(ALL) if known else F.lit(ALL)
     classes, words = histograms(F.col("m"))
     rows = measured.select(lang.alias("lang"), classes.alias("c"), words.alias("w"))
-    sums = lambda name, size: F.array(*(F.coalesce(F.sum(F.col(name)[i]), F.lit(0)) for i in range(size))).alias(name)
+    sums = lambda name, size: F.array(*(F.coalesce(F.sum(F.get(F.col(name), F.lit(i))), F.lit(0)) for i in range(size))).alias(name)
     n_classes = 8
     by = rows.groupBy("lang").agg(sums("c", n_classes), sums("w", COMMON + 1)).collect()
     share = lambda xs: [x / (sum(xs) or 1) for x in xs]
@@ -173,7 +173,8 @@ def judged(measured: DataFrame, refs: References) -> DataFrame:
 def trimmed(measured: DataFrame, common: dict[str, list[str]]) -> References:
     """References that junk doesn't blur: summed over all rows, then anew over all rows that the first ones keep."""
     first = references(measured, common)
-    return references(judged(measured, first).where("kept"), common)
+    again = references(judged(measured, first).where("kept"), common)
+    return References(common, first.classes | again.classes, first.words | again.words)
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -181,8 +182,9 @@ def rules(docs: DataFrame) -> DataFrame:
 
     Texts are read twice: for each language's common words, and for all counts, which are written as a small table. The
     languages' histograms sum all documents', and then once more those that these references keep. A document is rejected by the base rules, or if one of its two
-    distances is over its bound and the document has the words that the guard asks for. A null text has no words. A null
-    or rare language is held against all languages. Rows that repeat are all returned; no rows give no rows.
+    distances is over its bound and the document has the words that the guard asks for. A null text has no words. Documents
+    of null or rare languages are held against all documents' character classes, and against each other's use of the words
+    that are common in all languages. Rows that repeat are all returned; no rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     common = common_words(rows)
