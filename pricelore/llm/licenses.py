@@ -105,7 +105,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K) ->
 
     All rolling hashes of k words of whole texts are joined to the templates' positions; hits vote for their diagonal
     (position in the text less position in the template), neighbouring diagonals merge, and a candidate is a span if its
-    words, compared with the template's one by one along the merged diagonals, agree well enough. Returns doc_id, n_words,
+    words, compared with the template's one by one along the merged diagonals, agree well enough; a span inside another
+    one of its label is left out. Returns doc_id, n_words,
     n_base, first_word, last_word, base_labels, labels, score (share of the words in phrases or spans), spans. A null or
     wordless text has no words, null positions, empty labels and score 0. Rows that repeat are all returned.
     """
@@ -171,6 +172,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K) ->
                     if len(places) >= max(WORDS, SHARE * len(equal)):
                         spans.append({"label": x["label"], "first_word": min(places), "last_word": max(places), "share": len(places) / len(equal)})
                         covered.update(range(min(places), max(places) + 1))
+                inside = lambda a, b: a is not b and a["label"] == b["label"] and b["first_word"] <= a["first_word"] and a["last_word"] <= b["last_word"]
+                spans = [a for i, a in enumerate(spans) if not any(inside(a, b) and (not inside(b, a) or j < i) for j, b in enumerate(spans))]
                 labels = sorted({*r["labels"], *(s["label"] for s in spans)})
                 spans.sort(key=lambda s: (s["first_word"], s["label"]))
                 starts, n = r["starts"], r["n_words"]
