@@ -63,7 +63,7 @@ class WordEncoder:
             if key in old:
                 young[key] = old[key]
                 continue
-            end = key[-1:] if key[-1:] in (",", ".") and key[-2:-1].isalpha() else ""
+            end = key[-1:] if key[-1:] in (",", ".") and key[-2:-1].lower().isalpha() else ""
             core = key[:-1] if end else key
             core = core.lower() if core.isascii() else core
             tails.append((key, core, end))
