@@ -29,6 +29,12 @@ def r2_orphans(d: Domain):
     return op.orphans(d.products.select("product_id", "category"), d.listings.where("listing_id % 50 = 0"))
 
 
+@query("SELECT product_id, category FROM products p WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.product_id)")
+def r2_orphans_all(d: Domain):
+    """Over all listings; r2_orphans looks at every fiftieth."""
+    return op.orphans(d.products.select("product_id", "category"), d.listings)
+
+
 @query("""SELECT category, count(*) AS n, CAST(sum(CASE WHEN k >= 1 THEN 1 ELSE 0 END) AS BIGINT) AS at_least_1, CAST(sum(CASE WHEN k >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS at_least_20, CAST(sum(CASE WHEN k >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS at_least_30,
   percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(k AS DOUBLE)) AS median FROM (SELECT category, product_id, count(*) AS k FROM listings GROUP BY category, product_id) GROUP BY category""")
 def r3_listing_ladder(d: Domain):
@@ -95,6 +101,18 @@ def c48_watch_events(d: Domain):
     return op.watch_events(watches, prices.price_events(d.observations))
 
 
+@query(f""", {EVENTS}, w AS (SELECT user_id, product_id % 2000 AS product_id, min(target) AS target, bool_or(notify_on_drop) AS notify_on_drop FROM watches GROUP BY user_id, product_id % 2000),
+joined AS (SELECT w.*, price, previous, stock, kind FROM w JOIN kinds k ON k.product_id = w.product_id),
+hits AS (SELECT *, 'AT_TARGET' AS event FROM joined WHERE stock <> 'out_of_stock' AND price <= target AND (previous IS NULL OR previous > target)
+  UNION ALL SELECT *, 'PRICE_DROP' FROM joined WHERE notify_on_drop AND stock <> 'out_of_stock' AND previous - price > 0 AND ((previous - price) * 50 >= previous OR previous - price >= 50000)
+  UNION ALL SELECT *, 'BACK_IN_STOCK' FROM joined WHERE kind = 'back_in_stock' UNION ALL SELECT *, 'OUT_OF_STOCK' FROM joined WHERE kind = 'out_of_stock')
+SELECT DISTINCT user_id, product_id, event, price, previous, stock, sha256(user_id || '|' || product_id || '|' || event || '|' || price || '|' || coalesce(CAST(previous AS VARCHAR), '') || '|' || stock) AS fingerprint FROM hits""")
+def c48_watch_events_all(d: Domain):
+    """Over all watches; c48_watch_events takes every twentieth user's."""
+    watches = d.watches.groupBy("user_id", (F.col("product_id") % 2000).alias("product_id")).agg(F.min("target").alias("target"), F.bool_or("notify_on_drop").alias("notify_on_drop"))
+    return op.watch_events(watches, prices.price_events(d.observations))
+
+
 @query(f""", {BEST.replace("FROM products p JOIN shown", ", min(CASE WHEN stock <> 'out_of_stock' THEN price END) IS NULL AS used_fallback FROM products p JOIN shown")}, {EVENTS},
 latest AS (SELECT product_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY observed_at DESC, observation_id DESC) AS rn FROM kinds) WHERE rn = 1),
 w AS (SELECT user_id, product_id % 2000 AS product_id, target, notify_on_drop FROM watches)
@@ -121,6 +139,12 @@ def s11_insert_absent(d: Domain):
     return op.insert_absent(d.products.where("status = 'active'").select("product_id"), d.observations.where("product_id % 3 = 0").select("product_id"), "product_id")
 
 
+@query("SELECT DISTINCT product_id FROM observations o WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_id = o.product_id AND status = 'active')")
+def s11_insert_absent_all(d: Domain):
+    """Over all observations; s11_insert_absent takes every third product's."""
+    return op.insert_absent(d.products.where("status = 'active'").select("product_id"), d.observations.select("product_id"), "product_id")
+
+
 @query("""SELECT o.observation_id, o.listing_id FROM observations o WHERE observed_at >= TIMESTAMP '2000-01-01' OR observation_id IN (SELECT max(observation_id) FROM observations GROUP BY listing_id)""")
 def s15_retention(d: Domain):
     """Old observations go, but for each listing's last one."""

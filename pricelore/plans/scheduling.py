@@ -57,6 +57,13 @@ def q4_single_store(d: Domain):
     return op.single_store(d.listings.where("listing_id % 23 = 0"), AS_OF)
 
 
+@query("""SELECT l.product_id, min(platform) AS platform, last(price ORDER BY last_seen, listing_id) AS price, CAST(floor(min((epoch(TIMESTAMP '2001-11-05 00:00:00') - epoch(last_seen)) / 3600.0)) AS BIGINT) AS hours
+FROM listings l GROUP BY l.product_id HAVING count(DISTINCT platform) = 1""")
+def q4_single_store_all(d: Domain):
+    """Over all listings; q4_single_store takes every 23rd, so that other stores' listings can be missed."""
+    return op.single_store(d.listings, AS_OF)
+
+
 @query(f", {COVERAGE} SELECT p.product_id, c.platform, p.category FROM products p JOIN coverage c ON c.category = p.category WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.product_id AND l.platform = c.platform)")
 def q5_missing_platforms(d: Domain):
     return op.missing_platforms(d.listings, d.products, coverage(d))
@@ -108,6 +115,12 @@ def q13_platform_pairs(d: Domain):
     return op.platform_pairs(d.listings.where("listing_id % 5 = 0"))
 
 
+@query("SELECT platforms, count(*) AS n FROM (SELECT product_id, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms FROM listings GROUP BY product_id) GROUP BY platforms")
+def q13_platform_pairs_all(d: Domain):
+    """Over all listings; q13_platform_pairs takes every fifth."""
+    return op.platform_pairs(d.listings)
+
+
 @query(f""", {COVERAGE}, by_pair AS (SELECT platform, category, count(*) AS n, sum(CASE WHEN price > 0 AND stock = 'in_stock' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN match_status = 'matched' THEN 1 ELSE 0 END) AS m FROM listings GROUP BY platform, category)
 SELECT c.platform, c.category, coalesce(n, 0) AS n, CAST(coalesce(b, 0) AS BIGINT) AS n_buyable, CAST(coalesce(m, 0) AS BIGINT) AS n_matched,
   CASE WHEN n IS NULL THEN 'EMPTY' WHEN n < 20 THEN 'THIN' WHEN b * 100 >= n * 60 AND m * 100 >= n * 85 THEN 'READY' ELSE 'LIMITED' END AS state FROM coverage c LEFT JOIN by_pair b ON b.platform = c.platform AND b.category = c.category""")
