@@ -10,45 +10,47 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelore.llm.common import written
+from pricelore.llm.common import fresh_path, written
 from pricelore.llm.licenses import words
 
-#: Classes that the network predicts: the commonest words have one each, all others share hashed ones.
+#: Classes that the network predicts: the commonest words have one each, all others share classes of words of like frequency.
 OWN, SHARED = 192, 64
 CLASSES = OWN + SHARED
-#: Words whose share of their class is kept; rarer ones share evenly what their class has left.
+#: Words that every task holds; the counts of all rarer ones, which share the last class, stay in a table and are joined.
 KNOWN = 50_000
-#: Tokens seen on each side, size of the hidden layer, rounds of training, and the share of positions trained on (1 / n).
-SIDE, HIDDEN, ROUNDS, EVERY = 2, 16, 2, 8
+#: Tokens seen on each side, size of the hidden layer, and rounds of training, in which the positions take turns.
+SIDE, HIDDEN, ROUNDS = 2, 16, 2
 BATCH, RATE = 2_048, 0.5
 #: Different words that a task counts before it passes them on.
 COUNTED = 300_000
-SCORES = "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double"
 
 
 @dataclass
 class Vocabulary:
-    """Word to row; for each row its class and the log of its share of the class. Rows from KNOWN on stand for rare words of a class."""
+    """Word to row; for each row its class and the log of its share of the class. The last row stands for a rare word that
+    occurs once or never; `rare` is the path of the table (word, n) of those that occur more often."""
 
     rows: dict[bytes, int]
     classes: np.ndarray
     shares: np.ndarray
     frequency: np.ndarray
+    rare: str
     network: list[np.ndarray] = field(default_factory=list)
 
 
 class Rows(dict):
-    """A vocabulary's rows; rare words get the row of their class."""
+    """A vocabulary's rows; rare words get the last one."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary.rows)
-        self.rare = len(vocabulary.classes) - SHARED
+        self.rare = len(vocabulary.classes) - 1
 
     def __missing__(self, word: bytes) -> int:
-        return self.rare + zlib.crc32(word) % SHARED
+        return self.rare
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -69,19 +71,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts all words; gathers the KNOWN commonest and SHARED sums over the others."""
+    """Counts all words; gathers the KNOWN commonest and the sum over the others, whose counts are written.
+
+    Words after the first OWN are cut by frequency into SHARED - 1 classes of about equal counts; the rare ones are the last class.
+    """
     counts = written(word_counts(docs), "lm-words")
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     known = [(bytes(r.word), r.n) for r in top.collect()]
     last = known[-1] if known else (b"", 0)
     rare = counts.where((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > F.lit(bytearray(last[0])))))
-    sums = {r.c: (r.n, r.kinds) for r in rare.groupBy((F.crc32("word") % SHARED).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    classes = np.array([i if i < OWN else OWN + zlib.crc32(w) % SHARED for i, (w, _) in enumerate(known)] + [OWN + c for c in range(SHARED)])
-    n = np.array([n for _, n in known] + [sums.get(c, (0, 0))[0] + 1 for c in range(SHARED)], dtype=np.float64)
+    n_rare = rare.agg(F.sum("n")).first()[0] or 0
+    path = fresh_path(docs.sparkSession, "lm-rare")
+    rare.where("n > 1").write.parquet(path)
+    n = np.array([n for _, n in known] + [n_rare + 1], dtype=np.float64)  # one more: words that were never counted
+    classes = np.arange(len(n))
+    if len(known) > OWN:
+        shared = n[OWN:-1]
+        before = np.cumsum(shared) - shared
+        classes[OWN:-1] = OWN + (before * (SHARED - 1) / shared.sum()).astype(np.int64)
+    classes[-1] = CLASSES - 1
     whole = np.bincount(classes, n, minlength=CLASSES)
-    kinds = np.array([1] * len(known) + [max(1, sums.get(c, (0, 0))[1]) for c in range(SHARED)])
-    shares = np.log(n / kinds / whole[classes])
-    return Vocabulary({w: i for i, (w, _) in enumerate(known)}, classes.astype(np.int32), shares.astype(np.float32), np.log((whole + 1) / (whole + 1).sum()))
+    shares = np.log(n / whole[classes])
+    shares[-1] = -np.log(whole[-1])
+    return Vocabulary({w: i for i, (w, _) in enumerate(known)}, classes.astype(np.int32), shares.astype(np.float32), np.log((whole + 1) / (whole + 1).sum()), path)
 
 
 def fresh_network(frequency: np.ndarray) -> list[np.ndarray]:
@@ -112,7 +124,7 @@ def learn(network: list[np.ndarray], context: np.ndarray, target: np.ndarray) ->
     """One step of gradient descent, in place."""
     n = len(target)
     hidden, z = forward(network, context)
-    slope = np.exp(z)
+    slope = np.exp(z, out=z)
     slope[np.arange(n), target] -= 1
     slope *= RATE / n
     back = slope @ network[-2] * (1 - hidden**2)
@@ -129,30 +141,31 @@ def rows_of(shared) -> Rows:
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> None:
-    """Fits vocab.network on every EVERY-th token of all documents.
+    """Fits vocab.network on every token of all documents.
 
-    In each round every task goes on from the round's network over its partition, and the results are averaged, weighted
+    A round trains on every ROUNDS-th position of each text, from a hash of the text on; the next round on the next ones. In each round every task goes on from the round's network over its partition, and the results are averaged, weighted
     by tokens: a sum over rows of the parameters, of which as many come back as the network has, whatever the input.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
     vocab.network = fresh_network(vocab.frequency)
     sizes = [x.size // HIDDEN for x in vocab.network]
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(vocab)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             rows, v = rows_of(shared), shared.value
             network, n = [x.copy() for x in v.network], 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             n_held = 0
             for batch in batches:
                 for text in batch.column(0):
-                    parts = words(text.as_py())
+                    text = text.as_py()
+                    parts = words(text)
                     if not parts:
                         continue
                     c = v.classes[np.fromiter(map(rows.__getitem__, parts), dtype=np.int64, count=len(parts))]
-                    at = np.arange(zlib.crc32(parts[0]) % EVERY, len(c), EVERY)
+                    at = np.arange((turn + zlib.crc32(text)) % ROUNDS, len(c), ROUNDS)
                     held.append((contexts(c)[at], c[at]))
                     n_held += len(at)
                     if n_held >= BATCH:
@@ -181,7 +194,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> None:
 
 
 def log_probabilities(vocab: Vocabulary, rows: Rows, parts: list[bytes]) -> np.ndarray:
-    """Of every token given its neighbours: its class by the network, times its share of the class."""
+    """Of every token given its neighbours: its class by the network, times its share of the class. Rare words count as occurring once."""
     if not parts:
         return np.zeros(0)
     row = np.fromiter(map(rows.__getitem__, parts), dtype=np.int64, count=len(parts))
@@ -197,12 +210,14 @@ def score(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, pseudo_log_likelihood (natural log, summed over all tokens), mean_log_probability.
 
     docs: doc_id, text; further columns are ignored. Null and wordless texts have no tokens, the sum 0 and a null mean. Rows
-    that repeat are scored each.
+    that repeat are scored each. The rare words' counts are joined and the logs added to the rows' sums.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, v = rows_of(shared), shared.value
+        row, known = TaskContext.get().partitionId() << 40, v.rows
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
         for batch in batches:
             each = [words(t.as_py()) for t in batch.column(1)]
             n = np.array([len(x) for x in each], dtype=np.int64)
@@ -213,11 +228,19 @@ def score(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 gap = [w for x in each[begin:end] for w in (*x, *[None] * SIDE)]
                 sums[begin:end] = apart(v, rows, gap, n[begin:end])
                 begin = end
-            mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), pa.array(mean, pa.float64())], names=[x.split()[0] for x in SCORES.split(", ")])
+            rare = [[{"word": w, "k": k} for w, k in Counter(w for w in x if w not in known).items()] for x in each]
+            at = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([at, batch.column(0), pa.array(n), pa.array(sums), pa.array(rare, kind)], names=["row", "doc_id", "n_tokens", "once", "rare"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return texts.mapInArrow(run, SCORES)
+    found = written(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, once double, rare array<struct<word:binary,k:int>>"), "lm-scores")
+    counts = docs.sparkSession.read.schema("word binary, n long").parquet(vocab.rare)
+    more = found.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(counts, "word")
+    more = more.groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
+    whole = F.col("once") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens"))
+    return found.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))
 
 
 def apart(vocab: Vocabulary, rows: Rows, tokens: list[bytes | None], n: np.ndarray) -> np.ndarray:

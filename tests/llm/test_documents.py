@@ -285,3 +285,34 @@ def test_lm_is_a_distribution_and_prefers_order(spark):
     assert mean[0] > mean[900] + 0.5 and mean[0] > mean[901]
     counts = {bytes(r.word): r.n for r in lm_scoring.word_counts(frame).collect()}
     assert counts[b"zzz"] == 20 and sum(counts.values()) == 151 * 400 + 40
+
+
+def test_lm_trains_on_every_position(spark):
+    cycle = "p q r s t u v w".split()  # every eighth token alone would be one word of the eight
+    frame = spark.createDataFrame([(i, " ".join(cycle * (45 + i))) for i in range(150)], "doc_id long, text string").coalesce(1)
+    scored = lm_scoring.score(frame, lm_scoring.model(frame)).collect()
+    assert min(r.mean_log_probability for r in scored) > -0.2
+
+
+def test_lm_counts_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KNOWN", 6)
+    rows = [(i, "a b c d e f " * 3 + f"g g h rare{i}") for i in range(5)] + [(9, "z"), (None, ""), (10, "g h rare9 never")]
+    frame = spark.createDataFrame(rows[:-1], "doc_id long, text string")
+    vocab = lm_scoring.model(frame)
+    counts = {bytes(r.word): r.n for r in lm_scoring.word_counts(frame).collect()}
+    assert len(vocab.rows) == 6
+    rare = sum(k for w, k in counts.items() if w not in vocab.rows)
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), vocab).collect()}
+    assert len(got) == len(rows) and got[None].mean_log_probability is None
+    for doc_id, text in rows:
+        parts = licenses.words(text.encode())
+        c = vocab.classes[[vocab.rows.get(w, len(vocab.classes) - 1) for w in parts]] if parts else np.zeros(0, dtype=int)
+        z = lm_scoring.forward(vocab.network, lm_scoring.contexts(c))[1][np.arange(len(c)), c] if parts else np.zeros(0)
+        own = [math.log(counts.get(w, 1) / (rare + 1)) for w in parts if w not in vocab.rows]
+        assert got[doc_id].pseudo_log_likelihood == pytest.approx(z.sum() + sum(own), rel=1e-4, abs=1e-6)
+
+
+def test_lm_classes_follow_frequency(spark):
+    text = " ".join(f"w{i} " * (400 - i) for i in range(400))
+    vocab = lm_scoring.vocabulary(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert (np.diff(vocab.classes) >= 0).all() and vocab.classes[-1] == lm_scoring.CLASSES - 1
