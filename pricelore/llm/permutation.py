@@ -17,7 +17,7 @@ PIVOTS, NEAREST = 128, 48
 #: Vectors in a shard of the index, and queries in a block.
 SHARD, BLOCK = 1_024, 1_024
 #: Share of a shard that a query reranks, and the least number.
-CANDIDATES, LEAST = 0.3, 64
+CANDIDATES, LEAST = 0.4, 64
 
 
 def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:

@@ -32,6 +32,25 @@ def test_search_finds_the_nearest(spark):
     assert [r.vec_id for r in by[100]] == [99, 101, 102, 103, 104]
 
 
+def test_search_prunes_and_still_finds_the_nearest(spark):
+    n = 20_000  # 64 shards of about 312: more than LEAST / CANDIDATES, so that the rest of a shard isn't reranked
+    assert n / 64 > 1.5 * permutation.LEAST / permutation.CANDIDATES
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 32))
+    x = centers[rng.integers(0, 40, n)] + rng.normal(size=(n, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in permutation.search(frame, frame.where("vec_id % 500 = 0")).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    assert sorted(by) == list(range(0, n, 500))
+    for q, found in by.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(found & set(np.argsort(-score)[:5].tolist()))
+    assert hits / (5 * len(by)) >= 0.9
+
+
 def test_search_of_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r.rank, r.vec_id) for r in permutation.search(frame, frame.where("vec_id % 50 = 0")).collect()}
