@@ -24,18 +24,25 @@ def top_facets(counts: DataFrame, most: int) -> DataFrame:
     return counts.withColumn("position", rn.cast("long")).where(F.col("position") <= most)
 
 
-def similar_products(seeds: DataFrame, best: DataFrame, peers: DataFrame, low: int = 55, high: int = 180, most: int = 8) -> DataFrame:
+def similar_products(seeds: DataFrame, best: DataFrame, peers: DataFrame | None = None, low: int = 55, high: int = 180, most: int = 8, groups: DataFrame | None = None) -> DataFrame:
     """Products of the seed's category and in its price range (low..high %), but not of its own group; nearest brand and price first.
 
-    seeds, best: product_id, category, brand, best_price; peers: product_id, peer_id. Prices are banded by powers of two, so
+    seeds, best: product_id, category, brand, best_price. Left out are the pairs of peers (product_id, peer_id), and with
+    groups (product_id, group_id) all pairs of one group. Prices are banded by powers of two, so
     that a seed meets only the bands that its range touches instead of its whole category.
     """
     band = lambda c: F.floor(F.log2(c)).cast("int")
     s = seeds.where("best_price > 0").select(F.col("product_id").alias("seed"), "category", F.col("brand").alias("seed_brand"), F.col("best_price").alias("seed_price"))
-    s = s.withColumn("band", F.explode(F.sequence(band(F.col("seed_price") * low / 100), band(F.col("seed_price") * high / 100))))
     rows = best.where("best_price > 0").withColumn("band", band(F.col("best_price")))
+    if groups is not None:
+        s = s.join(groups.select(F.col("product_id").alias("seed"), F.col("group_id").alias("seed_group")), "seed", "left")
+        rows = rows.join(groups.select("product_id", "group_id"), "product_id", "left")
+    s = s.withColumn("band", F.explode(F.sequence(band(F.col("seed_price") * low / 100), band(F.col("seed_price") * high / 100))))
     near = s.join(rows, ["category", "band"]).where((F.col("seed") != F.col("product_id")) & (F.col("best_price") * 100 >= F.col("seed_price") * low) & (F.col("best_price") * 100 <= F.col("seed_price") * high))
-    near = near.join(peers.select(F.col("product_id").alias("seed"), F.col("peer_id").alias("product_id")), ["seed", "product_id"], "left_anti")
+    if peers is not None:
+        near = near.join(peers.select(F.col("product_id").alias("seed"), F.col("peer_id").alias("product_id")), ["seed", "product_id"], "left_anti")
+    if groups is not None:
+        near = near.where(~F.coalesce(F.col("seed_group") == F.col("group_id"), F.lit(False)))
     order = [(F.col("brand") != F.col("seed_brand")).asc(), F.abs(F.col("best_price") - F.col("seed_price")).asc(), F.col("product_id").asc()]
     rn = F.row_number().over(Window.partitionBy("seed").orderBy(*order))
     return near.withColumn("position", rn.cast("long")).where(F.col("position") <= most).select("seed", "product_id", "best_price", "position")
@@ -49,6 +56,12 @@ def variant_groups(products: DataFrame) -> DataFrame:
     return rows.join(sizes, "group_id").select("group_id", "product_id", "n")
 
 
+def variant_members(groups: DataFrame) -> DataFrame:
+    """Each member of a group with its representative, the smallest id: the links of all members, without their pairs."""
+    least = groups.groupBy("group_id").agg(F.min("product_id").alias("representative"))
+    return groups.join(least, "group_id").select("group_id", "product_id", "representative", "n")
+
+
 def variant_peers(groups: DataFrame, most: int = 12) -> DataFrame:
     """Each product's next members of its group, by id; no member meets more than `most` others."""
     order = Window.partitionBy("group_id").orderBy("product_id")

@@ -42,6 +42,17 @@ def c31_similar_products(d: Domain):
     return op.similar_products(rows.where("product_id % 10 = 0"), rows, op.variant_peers(op.variant_groups(d.products)))
 
 
+@query(f""", {BEST}, titled AS (SELECT b.*, lower(trim(title)) AS t FROM best b JOIN products p ON p.product_id = b.product_id),
+near AS (SELECT s.product_id AS seed, b.product_id, b.best_price, row_number() OVER (PARTITION BY s.product_id ORDER BY b.brand <> s.brand, abs(b.best_price - s.best_price), b.product_id) AS position
+  FROM titled s JOIN titled b ON b.category = s.category AND b.product_id <> s.product_id AND b.best_price * 100 BETWEEN s.best_price * 55 AND s.best_price * 180
+  WHERE s.best_price > 0 AND NOT (b.brand = s.brand AND b.t = s.t))
+SELECT seed, product_id, best_price, position FROM near WHERE position <= 8""")
+def c31_similar_products_all(d: Domain):
+    """Of all products, without any of their group; c31_similar_products takes every tenth, and leaves out 12 of the group."""
+    rows = best(d)
+    return op.similar_products(rows, rows, groups=op.variant_groups(d.products))
+
+
 @query(f", {GROUPS} SELECT substr(sha256(concat_ws('|', category, brand, lower(trim(title)))), 1, 16) AS group_id, product_id, n FROM groups WHERE n > 1")
 def c44_variant_groups(d: Domain):
     return op.variant_groups(d.products)
@@ -54,6 +65,12 @@ def j14_variant_peers(d: Domain):
     return op.variant_peers(op.variant_groups(d.products))
 
 
+@query(f""", {GROUPS} SELECT substr(sha256(concat_ws('|', category, brand, lower(trim(title)))), 1, 16) AS group_id, product_id, min(product_id) OVER (PARTITION BY category, brand, lower(trim(title))) AS representative, n FROM groups WHERE n > 1""")
+def j14_variant_peers_all(d: Domain):
+    """Whole groups, as members with their representative; j14_variant_peers gives the next 12 alone."""
+    return op.variant_members(op.variant_groups(d.products))
+
+
 @query(f""", {BEST}, wanted AS (SELECT * FROM (VALUES (3, 1), (11, 2), (17, 3), (4, 4)) v(product_id, position)),
 rows AS (SELECT CAST(w.position AS BIGINT) AS position, CAST(w.product_id AS BIGINT) AS product_id, p.category, best_price, status FROM wanted w LEFT JOIN products p ON p.product_id = w.product_id LEFT JOIN best b ON b.product_id = w.product_id)
 SELECT position, product_id, category, best_price, CASE WHEN status IS NULL OR status <> 'active' THEN 'missing'

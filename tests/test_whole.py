@@ -3,6 +3,7 @@
 import datetime as dt
 from types import SimpleNamespace
 
+from pricelore.operators import catalog
 from pricelore.plans import prices, reports, scheduling
 
 SEEN = dt.datetime(2001, 11, 4)
@@ -34,3 +35,14 @@ def test_observations_and_watches_off_the_samples_count(spark):
     assert ids(reports.c48_watch_events_all(d), "user_id", "product_id", "event", "price") == [(7, 1, "AT_TARGET", 100), (7, 1, "PRICE_DROP", 100)]
     assert ids(reports.s11_insert_absent_all(d), "product_id") == [(1,)]
     assert ids(prices.c7i_product_days_again_all(d), "product_id", "day", "best_price", "all_time_low") == [(1, AT.date(), 100, 100)]
+
+
+def test_variants_of_large_groups_are_linked_and_never_similar(spark):
+    rows = [(i, "laptop", "b", "t", "active", 100 + i) for i in range(1, 31)] + [(99, "laptop", "b", "other", "active", 120)]
+    products = spark.createDataFrame(rows, "product_id long, category string, brand string, title string, status string, best_price long")
+    groups = catalog.variant_groups(products)
+    members = ids(catalog.variant_members(groups), "product_id", "representative", "n")
+    assert members == [(i, 1, 30) for i in range(1, 31)]
+    found = ids(catalog.similar_products(products, products, groups=groups), "seed", "product_id")
+    assert [f for f in found if f[0] != 99] == [(i, 99) for i in range(1, 31)]
+    assert len([f for f in found if f[0] == 99]) == 8
