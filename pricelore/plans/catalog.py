@@ -149,8 +149,11 @@ merged AS (SELECT listing_id, product_id, CAST(max(similarity) AS DOUBLE) AS sim
 placed AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY "rank", similarity DESC, product_id) AS position FROM merged)"""
 
 
-def pools(d: Domain):
-    asked = d.listings.where("product_id % 40 = 0").join(d.products.select("product_id", "brand"), "product_id")
+POOLS_ALL = POOLS.replace(" WHERE l.product_id % 40 = 0", "")
+
+
+def pools(d: Domain, every: int = 40):
+    asked = d.listings.where(F.col("product_id") % every == 0).join(d.products.select("product_id", "brand"), "product_id")
     same = asked.select("listing_id", "product_id", F.lit(1.0).alias("similarity"))
     brand = asked.select("listing_id", "category", "brand").join(d.products.select("product_id", "category", "brand"), ["category", "brand"]).select("listing_id", "product_id", F.lit(0.5).alias("similarity"))
     return op.candidate_pools({"same": same, "brand": brand}, 13)
@@ -161,9 +164,30 @@ def c38_candidates(d: Domain):
     return pools(d).withColumn("sources", F.array_join("sources", ","))
 
 
+@query(f", {POOLS_ALL} SELECT * FROM placed WHERE position <= 13")
+def c38_candidates_all(d: Domain):
+    """Of all listings; c38_candidates takes every fortieth product's. Two of the reference's tiers: same and brand."""
+    return pools(d, 1).withColumn("sources", F.array_join("sources", ","))
+
+
+JUDGED = """judged AS (SELECT *, 60.0 + 40.0 * similarity - position AS score, similarity = 1 AND listing_id % 3 <> 0 AS may_merge FROM placed WHERE position <= 13),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY may_merge DESC, CASE WHEN may_merge THEN position END NULLS LAST, score DESC, position) AS rn FROM judged)
+SELECT listing_id, CASE WHEN may_merge OR score >= 70 THEN product_id END AS product_id, CAST(score AS DOUBLE) AS score, CASE WHEN may_merge THEN 'matched' WHEN score >= 70 THEN 'needs_review' ELSE 'unmatched' END AS state FROM firsts WHERE rn = 1"""
+
+
+@query(f", {POOLS_ALL}, {JUDGED}")
+def c39_choose_match_all(d: Domain):
+    """Of all listings; c39_choose_match takes every fortieth product's."""
+    return matches(pools(d, 1))
+
+
+def matches(found):
+    rows = found.withColumn("score", 60.0 + 40.0 * F.col("similarity") - F.col("position")).withColumn("may_merge", (F.col("similarity") == 1) & (F.col("listing_id") % 3 != 0))
+    return op.choose_match(rows)
+
+
 @query(f""", {POOLS}, judged AS (SELECT *, 60.0 + 40.0 * similarity - position AS score, similarity = 1 AND listing_id % 3 <> 0 AS may_merge FROM placed WHERE position <= 13),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY may_merge DESC, CASE WHEN may_merge THEN position END NULLS LAST, score DESC, position) AS rn FROM judged)
 SELECT listing_id, CASE WHEN may_merge OR score >= 70 THEN product_id END AS product_id, CAST(score AS DOUBLE) AS score, CASE WHEN may_merge THEN 'matched' WHEN score >= 70 THEN 'needs_review' ELSE 'unmatched' END AS state FROM firsts WHERE rn = 1""")
 def c39_choose_match(d: Domain):
-    rows = pools(d).withColumn("score", 60.0 + 40.0 * F.col("similarity") - F.col("position")).withColumn("may_merge", (F.col("similarity") == 1) & (F.col("listing_id") % 3 != 0))
-    return op.choose_match(rows)
+    return matches(pools(d))

@@ -4,6 +4,7 @@ import datetime as dt
 from types import SimpleNamespace
 
 from pricelore.operators import catalog
+from pricelore.plans import catalog as search
 from pricelore.plans import prices, reports, scheduling
 
 SEEN = dt.datetime(2001, 11, 4)
@@ -46,3 +47,11 @@ def test_variants_of_large_groups_are_linked_and_never_similar(spark):
     found = ids(catalog.similar_products(products, products, groups=groups), "seed", "product_id")
     assert [f for f in found if f[0] != 99] == [(i, 99) for i in range(1, 31)]
     assert len([f for f in found if f[0] == 99]) == 8
+
+
+def test_candidates_of_listings_off_the_sample(spark):
+    listings = spark.createDataFrame([(7, 1, "laptop"), (8, 2, "laptop"), (12, 3, "camera")], "listing_id long, product_id long, category string")
+    products = spark.createDataFrame([(1, "laptop", "b"), (2, "laptop", "b"), (3, "camera", "b")], "product_id long, category string, brand string")
+    d = SimpleNamespace(listings=listings, products=products)
+    assert ids(search.c38_candidates_all(d), "listing_id", "product_id", "sources") == [(7, 1, "brand,same"), (7, 2, "brand"), (8, 1, "brand"), (8, 2, "brand,same"), (12, 3, "brand,same")]
+    assert ids(search.c39_choose_match_all(d), "listing_id", "product_id", "state") == [(7, 1, "matched"), (8, 2, "matched"), (12, 3, "needs_review")]
