@@ -37,16 +37,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashed), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (long) of every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (long) of every row of docs (doc_id, text), with the columns (long) to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def references() -> list[int]:
@@ -134,14 +134,15 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return pairs.unionByName(large.groupBy("blocks", "bits", "i", "j").applyInArrow(meet, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id that links reach) of every row.
 
     docs: doc_id, text; further columns are ignored. Words are runs of characters other than ASCII white space, with A-Z
     lower-cased; null and wordless texts have the fingerprint 0, which links like any other. Rows that repeat an id are
-    kept. A null id counts for no component_id; a component of null ids alone has a null one. No rows give no rows.
+    kept. A null id counts for no component_id; a component of null ids alone has a null one. No rows give no rows. Further
+    columns (long) come along if named in keep.
     """
-    rows = written(fingerprints(docs, shingle), "fingerprints")
+    rows = written(fingerprints(docs, shingle, keep), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), most)).withColumnRenamed("node", "fp")
     members = fps.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
@@ -149,14 +150,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = members.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(of, "fp").select("doc_id", hexed, "component_id")
+    return rows.join(of, "fp").select("doc_id", hexed, "component_id", *keep)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs without near duplicates of a smaller doc_id: one document of each component stays, with all its columns.
 
-    Rows that repeat the smallest id of a component stay all; rows with a null id stay.
+    Each row is judged by its own text, also where rows of other texts have its id. Rows that repeat the smallest id of a
+    component stay all; rows with a null id stay.
     """
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    found = near_duplicates(rows, keep=("_text_hash",))
+    gone = found.where("doc_id <> component_id").select("doc_id", "_text_hash").distinct()
+    return rows.join(gone, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)

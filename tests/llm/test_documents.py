@@ -120,6 +120,13 @@ def test_representatives_keep_one_of_each_group(docs):
     assert simhash.representatives(docs).columns == docs.columns
 
 
+def test_representatives_judge_rows_that_share_an_id_by_their_texts(spark):
+    copied, other = "river light stone wind garden path " * 5, "entirely different words that nobody has copied from anywhere"
+    frame = spark.createDataFrame([(5, copied), (7, copied), (7, other), (None, copied), (8, None)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in simhash.representatives(frame).collect()}
+    assert kept == {(5, copied), (7, other), (None, copied), (8, None)}
+
+
 def test_license_phrases_equal_the_plain_version(docs):
     got = Counter()
     for r in licenses.scan(docs).collect():
