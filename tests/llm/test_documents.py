@@ -323,3 +323,33 @@ def test_lm_classes_follow_frequency(spark):
     text = " ".join(f"w{i} " * (400 - i) for i in range(400))
     vocab = lm_scoring.vocabulary(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert (np.diff(vocab.classes) >= 0).all() and vocab.classes[-1] == lm_scoring.CLASSES - 1
+
+
+def test_quality_measures_each_text_once(docs):
+    kept = quality.kept(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "xxhash64" not in plan and len(plan) < 20_000
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids == Counter(r.doc_id for r in quality.rules(docs).where("kept").collect())
+
+
+def test_quality_of_an_empty_table_and_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    assert quality.kept(docs.where("doc_id = -1")).count() == 0
+    odd = docs.select("*", F.lit(1).alias("own"), F.lit("a").alias("m"), F.lit(2).alias("words"))
+    kept = quality.kept(odd)
+    assert kept.columns == odd.columns and kept.count() == quality.kept(docs).count()
+
+
+def test_every_language_with_its_share_has_references(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{chr(97 + i % 70 % 26)}{chr(97 + i % 70 // 26)}{rng.choice('xyz')}" for _ in range(60)), f"l{i % 70}") for i in range(420)]
+    rows += [(1000, "ax bx cx " * 20, "rare"), (1001, "one two three four five six seven eight nine ten eleven", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = {r.lang: r.words for r in quality.common_words(frame).collect()}
+    assert set(common) == {f"l{k}" for k in range(70)} | {""} | ({"rare"} if "rare" in common else set())
+    n = Counter(w for _, t, lang in rows if lang == "l7" for w in t.split())
+    assert common["l7"] == [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))]
+    assert quality.rules(frame).count() == len(rows)
