@@ -16,12 +16,12 @@ def vocabulary(name: str) -> str:
 
 
 def byte_ids(texts: list[str | None]) -> list[bytes]:
-    """Ids of byte_bpe_50k.json, by the same vocabulary's ranks."""
+    """Ids of byte_bpe_50k.json, by the same vocabulary's ranks; texts with its special string by the tokenizer itself."""
     import public_tokenizers
 
     from pricelore.llm.tokens import rank_encoder
 
-    return rank_encoder(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)(texts)
+    return rank_encoder(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("byte_bpe_50k.json"))(texts)
 
 
 def word_ids(texts: list[str | None]) -> list[bytes]:

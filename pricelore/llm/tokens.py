@@ -15,6 +15,19 @@ REMEMBERED = 600_000
 AT_ONCE = 4_000
 
 
+class Plain:
+    """The tokenizer as the library gives it, for texts that hold one of its special strings, which it gives ids of their own."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+
+    def __call__(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class WordEncoder:
     """Encodes a text as the ids of its blank-separated pieces, each encoded by the tokenizer once and then remembered.
 
@@ -25,6 +38,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.whole = Plain(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
@@ -98,10 +112,11 @@ class WordEncoder:
             young[key] = cores[core] + ends[end]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        odd = {i for i, t in enumerate(texts) if t and self.whole.special.search(t)}
+        cut = [t.replace("\n", " ").split(" ") if t and i not in odd else [] for i, t in enumerate(texts)]
         self.learn(set().union(*cut))
         get = self.young.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        return [self.whole(texts[i]) if i in odd else b"".join(map(get, parts)) for i, parts in enumerate(cut)]
 
 
 @lru_cache(maxsize=2)
@@ -111,20 +126,28 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class RankEncoder:
-    """Byte-level BPE by the ranks of a .tiktoken file; special tokens' strings are ordinary text."""
+    """Byte-level BPE by the ranks of a .tiktoken file, as the tokenizer with the same vocabulary in `path` encodes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, path: str):
         import tiktoken
 
-        with open(path, "rb") as lines:
+        with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = Plain(path)
+
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.whole.special.search(text):
+            return self.whole(text)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        encode = self.encoding.encode_to_numpy
-        return [encode(t, disallowed_special=()).astype("<u4").tobytes() if t else b"" for t in texts]
+        return list(map(self.ids, texts))
 
 
 @lru_cache(maxsize=2)
-def rank_encoder(path: str, pattern: str) -> RankEncoder:
-    return RankEncoder(path, pattern)
+def rank_encoder(ranks_path: str, pattern: str, path: str) -> RankEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return RankEncoder(ranks_path, pattern, path)

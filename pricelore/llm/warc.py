@@ -67,12 +67,13 @@ def unframed(message: bytes) -> tuple[bytes, bool]:
         at = line + 4 + n
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, top: int | None, name: str, segment: int) -> list[str]:
-    """The records of one page, each without the two line ends after it."""
+def records(page_id: int | None, url: str | None, payload: bytes, top: int | None, first: bool, name: str, segment: int) -> list[str]:
+    """The records of one page, each without the two line ends after it. first: revisits refer to this one."""
     digest = base32_sha1(payload)
     revisit = page_id != top
+    own = f"urn:page:{page_id}:{digest}" + ("" if first else f":{name}")
     head = [
-        "WARC/1.1", f"WARC-Record-ID: <urn:page:{page_id}:{digest}:{name}>", f"WARC-Type: {'revisit' if revisit else 'response'}",
+        "WARC/1.1", f"WARC-Record-ID: <{own}>", f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Date: {DATE}", "WARC-Target-URI: " + " ".join((url or "").split()), f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http;msgtype=response",
     ]
@@ -87,8 +88,8 @@ def records(page_id: int | None, url: str | None, payload: bytes, top: int | Non
     found = ["\r\n".join([*head, f"Content-Length: {len(parts[0])}", "", ""]) + parts[0].decode()]
     for n, part in enumerate(parts[1:], 2):
         more = [
-            "WARC/1.1", f"WARC-Record-ID: <urn:page:{page_id}:{digest}:{name}:{n}>", "WARC-Type: continuation", f"WARC-Date: {DATE}",
-            f"WARC-Segment-Origin-ID: <urn:page:{page_id}:{digest}:{name}>", f"WARC-Segment-Number: {n}",
+            "WARC/1.1", f"WARC-Record-ID: <{own}:segment-{n}>", "WARC-Type: continuation", f"WARC-Date: {DATE}",
+            f"WARC-Segment-Origin-ID: <{own}>", f"WARC-Segment-Number: {n}",
         ]
         if n == len(parts):
             more.append(f"WARC-Segment-Total-Length: {len(block)}")
@@ -102,16 +103,17 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     pages: page_id, url, html (null: empty); further columns are ignored. Of pages with equal payloads that with the
     largest id becomes a response and the others revisits of it. Rows that repeat that id and payload are all responses;
     pages without id are responses where no page with an id has their payload, else revisits. HTTP messages have chunked
-    framing; blocks over `segment` bytes go on in continuation records.
+    framing; blocks over `segment` bytes go on in continuation records. Record-IDs are unique, and a revisit's reference is
+    the Record-ID of a response in the archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
             out, size = [], 0
-            for page_id, url, payload, top in rows:
-                more = records(page_id, url, payload, top, f"{task}-{n}", segment)
+            for page_id, url, payload, top, first in rows:
+                more = records(page_id, url, payload, top, first, f"{task}-{n}", segment)
                 n += 1
                 out += more
                 size += len(payload)
@@ -122,18 +124,21 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    top = rows.groupBy("sha").agg(F.max("page_id").alias("top"))
-    lines = rows.join(top, "sha").select("page_id", "url", "payload", "top").mapInArrow(run, "value string")
+    rows = rows.withColumns({"sha": F.sha1("payload"), "at": F.monotonically_increasing_id()})
+    top = rows.groupBy("sha").agg(F.max(F.struct("page_id", "at")).alias("top"))
+    lines = rows.join(top, "sha").select("page_id", "url", "payload", F.col("top.page_id").alias("top"), (F.col("at") == F.col("top.at")).alias("first")).mapInArrow(run, "value string")
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def inflated(data: bytes) -> bytes:
-    """A gzip file of one member or more."""
+    """A gzip file of one member or more, as far as it is whole."""
     parts = []
     while data:
         member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
+        try:
+            parts.append(member.decompress(data) + member.flush())
+        except zlib.error:
+            break
         data = member.unused_data
     return b"".join(parts)
 
@@ -142,23 +147,37 @@ def number(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
 
+def page_of(record_id: str) -> int | None:
+    """The page in a Record-ID of ours; null in others."""
+    parts = record_id.split(":")
+    return number(parts[2]) if parts[:2] == ["urn", "page"] and len(parts) > 3 else None
+
+
 def parsed(data: bytes) -> Iterator[tuple]:
-    """The records of an archive as rows of PARSED, found by their Content-Length."""
+    """The records of an archive as rows of PARSED, found by their Content-Length.
+
+    A record without it, or whose header is cut off, ends the archive: nothing after it can be found. A block that is cut
+    off is passed on as far as it goes. Records without type or Record-ID, and types other than response, revisit,
+    resource and continuation (warcinfo, request, metadata), are left out.
+    """
     at = 0
-    while (begin := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", begin)
+    while (begin := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", begin)) >= 0:
         lines = data[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
         field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(field["content-length"])
+        size = number(field.get("content-length"))
+        if size is None or size < 0:
+            return
+        at = end + 4 + size
         block = data[end + 4 : at]
-        name, origin = field["warc-record-id"].strip("<>"), field.get("warc-segment-origin-id", "").strip("<>")
-        kind, refers = field["warc-type"], field.get("warc-refers-to", "").strip("<>")
+        name, origin = field.get("warc-record-id", "").strip("<>"), field.get("warc-segment-origin-id", "").strip("<>")
+        kind, refers = field.get("warc-type", "").lower(), field.get("warc-refers-to", "").strip("<>")
+        if not name or kind not in ("response", "revisit", "resource", "continuation"):
+            continue
         http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in block.split(b"\r\n\r\n")[0].split(b"\r\n"))} if kind == "revisit" else {}
         yield (
-            name, kind, number(name.split(":")[2]), field.get("warc-target-uri"), number(refers.split(":")[2]) if refers else None,
-            field.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(http.get(b"content-length", b"").decode()),
-            origin or (name if "warc-segment-number" in field else None), number(field.get("warc-segment-number")),
-            number(field.get("warc-segment-total-length")), block,
+            name, kind, page_of(name), field.get("warc-target-uri"), page_of(f"{refers}:"), field.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+            number(http.get(b"content-length", b"").decode("ascii", "replace")), origin or (name if "warc-segment-number" in field else None),
+            number(field.get("warc-segment-number")), number(field.get("warc-segment-total-length")), block,
         )
 
 
@@ -167,7 +186,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Continuation records are grouped by the identifier of their origin and put in the order of their segment numbers;
     records that aren't segmented take no part in that shuffle. whole tells that the numbers have no gap, that the total
-    length is as declared, that the chunked framing ends well and that the payload has the declared digest. A revisit
+    length is as declared, that the chunked framing ends well and that the payload has the digest, if one is declared. Other
+    writers' archives have null page ids; parsed() says what is left out. A revisit
     has no payload (null), and the digest and length of the full one from its header.
     """
     fields = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in PARSED.split(", ")])
@@ -191,7 +211,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 payload, whole = unframed(block)
                 whole &= numbers is None or numbers == list(range(1, len(numbers) + 1)) and total == len(block)
                 got = base32_sha1(payload)
-                out.append((page_id, url, kind, None, got, len(payload), payload, whole and got == digest))
+                out.append((page_id, url, kind, None, got, len(payload), payload, whole and digest in (None, got)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(8)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
