@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on at most: so many of each label, chosen by a hash of their ids, out of those
-#: of so many characters at most.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_000, 4_000, 6_000
+#: Labelled documents that the model is fitted on at most: so many of each label, chosen by a hash of their ids, whatever
+#: their length.
+TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 4_000
 FEATURES = 1 << 18
 #: Words whose weights a Python worker remembers.
 REMEMBERED = 500_000
@@ -124,21 +124,20 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most `toxic` and `clean` labelled documents, of at most `chars` characters, outside of the held-out ids.
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
+    """A model from at most `toxic` and `clean` labelled documents outside of the held-out ids, by their whole texts.
 
-    Of a document with several labels the highest counts; labels without an id or value are left out. Of rows with one
-    id, the smallest text counts.
+    Of a document with several labels the highest counts; labels without an id or value, and ids without a text in docs,
+    are left out. Of rows with one id, the smallest text counts. The documents are drawn by a hash of their ids.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
+    there = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
-    # twice the documents, as some are too long
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(2 * toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * clean))
+    chosen = there.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(there.where("toxic = 0").orderBy(order, "doc_id").limit(clean))
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    fitted = rows.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(rows.where("toxic = 0").orderBy(order, "doc_id").limit(clean))
-    found = [(r.text, r.toxic) for r in fitted.collect()]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # toxic + clean rows at most
+    fitted = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(order, "doc_id").select("text", "toxic")
+    found = [(r.text, r.toxic) for r in fitted.toLocalIterator()]
     return fit([t for t, _ in found], [y for _, y in found])
 
 
@@ -147,6 +146,17 @@ def remembered(shared) -> WordWeights:
     return WordWeights(shared.value)
 
 
+def logits(known: WordWeights, text: str | None) -> np.ndarray:
+    """Of every sentence; minus infinity for one without words."""
+    get = known.__getitem__
+    return np.array([sum(map(get, w)) if (w := s.split()) else -np.inf for s in sentences(text or "")]) + known.model.bias
+
+
+def noisy_or(z: np.ndarray) -> float:
+    """1 - prod(1 - p) over sentences of the given logits; 0 without any."""
+    return float(-np.expm1(-np.logaddexp(0, z[z > -np.inf]).sum()))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_sentences and the offending sentences (probability 0.5 or more) of every row of docs (doc_id, text).
 
@@ -156,16 +166,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(shared)
-        get, bias = known.__getitem__, known.model.bias
         kind = pa.list_(pa.struct([("sentence", pa.int32()), ("probability", pa.float64()), ("text", pa.string())]))
         for batch in batches:
             scores, counts, offending = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                z = np.array([sum(map(get, w)) if (w := s.split()) else -1e9 for s in sentences(text)]) + bias
-                real = z > -1e8
-                counts.append(int(real.sum()))
-                scores.append(float(-np.expm1(-np.logaddexp(0, z[real]).sum())))
+                z = logits(known, text)
+                counts.append(int((z > -np.inf).sum()))
+                scores.append(noisy_or(z))
                 bad = np.flatnonzero(z >= 0).tolist()
                 parts = ENDS.split(text) if bad else []
                 offending.append([{"sentence": i, "probability": float(1 / (1 + np.exp(-z[i]))), "text": parts[i]} for i in bad])
@@ -175,7 +183,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `most`, with all their columns."""
+    """The rows of docs that score below `most`, with all their columns.
+
+    docs: text and any further columns. Null and wordless texts score 0 and stay; rows that repeat are judged alike; no
+    rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -183,11 +195,6 @@ def kept(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
         import pandas as pd
 
         known = remembered(shared)
-        get, bias = known.__getitem__, known.model.bias
-        found = []
-        for text in texts:
-            z = np.array([sum(map(get, w)) + bias for s in sentences(text or "") if (w := s.split())])
-            found.append(float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0)
-        return pd.Series(found, dtype="float64")
+        return pd.Series([noisy_or(logits(known, text)) for text in texts], dtype="float64")
 
     return docs.where(toxic(F.col("text").cast("string")) < most)

@@ -353,3 +353,63 @@ def test_every_language_with_its_share_has_references(spark):
     n = Counter(w for _, t, lang in rows if lang == "l7" for w in t.split())
     assert common["l7"] == [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))]
     assert quality.rules(frame).count() == len(rows)
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences(spark):
+    rng = random.Random(6)
+    weights = np.zeros(toxicity.FEATURES, dtype=np.float32)
+    for w in ("filthy", "wretch"):
+        weights[toxicity.features(w.encode())[0]] = 3.0
+    model = toxicity.Model(weights, -4.0)
+    rows = [(i, prose(rng, 30) + ". you filthy wretch! " * (i % 3)) for i in range(20)] + [(50, "a. " * 30_000), (51, "!!! ... \n\n"), (None, None)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc_id, text in rows:
+        clear = 1.0
+        for part in re.split(r"[.!?\n]", (text or "").lower()):
+            if part.split():
+                z = -4.0 + sum(sum(weights[f] for f in toxicity.features(w.encode())) for w in part.split())
+                clear *= 1 - 1 / (1 + math.exp(-z))
+        assert got[doc_id].score == pytest.approx(1 - clear, rel=1e-5, abs=1e-9)
+    assert len(got[2].offending) == 2 and got[51].n_sentences == 0
+
+
+def test_filters_of_empty_tables_and_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    model = toxicity.Model(np.zeros(toxicity.FEATURES, dtype=np.float32), -4.0)
+    odd = docs.select("*", *(F.lit(1).alias(c) for c in ("row", "draw", "gain", "topic", "tokens", "score", "fp", "component_id", "probability")))
+    none = odd.where("doc_id = -1")
+    for stage in (lambda d: toxicity.kept(d, model), quality.kept, simhash.representatives, mixing.sampled):
+        assert stage(none).columns == odd.columns and stage(none).count() == 0
+        assert stage(odd).columns == odd.columns
+
+
+def test_sampled_shares_meet_the_targets(spark):
+    rng = random.Random(12)
+    cells = [(s, lang, t, rng.randrange(200, 4000)) for s in "abcdef" for lang in ("x", "y", "z") for t in ("t", "u") if rng.random() < 0.9]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    whole = sum(c[3] for c in cells)
+    got = mixing.fitted(frame, budget=0.5).collect()
+    assert all(0 <= r.weight <= r.tokens * (1 + 1e-9) for r in got)
+    total = sum(r.weight for r in got)
+    assert total == pytest.approx(0.5 * whole, rel=1e-3)
+    for d in range(3):
+        have, sums = Counter(), Counter()
+        for c, r in [(c, next(r for r in got if r[:3] == c[:3])) for c in cells]:
+            have[c[d]] += c[3]
+            sums[c[d]] += r.weight
+        level = 0.0
+        for _ in range(100):  # what categories lack goes to the others
+            full = [k for k in have if have[k] <= level * math.sqrt(have[k])]
+            free = sum(math.sqrt(have[k]) for k in have if k not in full)
+            level = max(level, (total - sum(have[k] for k in full)) / free) if free else level
+        for k in have:
+            assert sums[k] == pytest.approx(min(have[k], level * math.sqrt(have[k])), rel=1e-3)
+
+
+def test_contradicting_targets_are_followed_as_far_as_can_be(spark):
+    cells = [("a", "x", "t", 100), ("b", "y", "t", 100), ("c", "z", "t", 50)]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    got = {r.source: r for r in mixing.fitted(frame, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, budget=0.4).collect()}
+    assert got["c"].weight == 0 and sum(r.weight for r in got.values()) == pytest.approx(100, rel=1e-3)
+    assert {r.followed for r in got.values()} == {0.0}
