@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricelore.plans import activity, catalog, prices, rails, reports, scheduling, streams, text
+from pricelore.plans import activity, catalog, matching, prices, rails, reports, scheduling, streams, text
 
-QUERIES = {k: v for m in (prices, rails, activity, catalog, scheduling, reports, text, streams) for k, v in m.registry.queries.items()}
-ORACLES = {k: v for m in (prices, rails, activity, catalog, scheduling, reports, text, streams) for k, v in m.registry.oracles.items()}
+QUERIES = {k: v for m in (prices, rails, activity, catalog, matching, scheduling, reports, text, streams) for k, v in m.registry.queries.items()}
+ORACLES = {k: v for m in (prices, rails, activity, catalog, matching, scheduling, reports, text, streams) for k, v in m.registry.oracles.items()}
