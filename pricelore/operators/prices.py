@@ -114,7 +114,7 @@ def product_days(platform_days: DataFrame, platforms: tuple[str, ...]) -> DataFr
 def product_days_again(observations: DataFrame, changed: DataFrame, platforms: tuple[str, ...]) -> DataFrame:
     """The rollups that change when observations of changed (product_id, day) come in: those products, from that day on."""
     first = changed.groupBy("product_id").agg(F.min("day").alias("from_day"))
-    rows = observations.join(F.broadcast(first) if first.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1" else first, "product_id")
+    rows = observations.join(first, "product_id")
     days = rows.groupBy("product_id", "day", "platform").agg(F.min("price").alias("min_price"), F.count("*").alias("n"))
     return product_days(days, platforms).join(first, "product_id").where("day >= from_day").drop("from_day")
 

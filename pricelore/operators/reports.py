@@ -138,3 +138,20 @@ def nested_export(products: DataFrame, offers: DataFrame, days: DataFrame) -> Da
     by_platform = offers.groupBy("product_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", F.struct("price", "stock"))))).alias("platforms"))
     history = days.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("day", "best_price"))).alias("history"))
     return products.join(by_platform, "product_id", "left").join(history, "product_id", "left")
+
+
+def numbered(rows: DataFrame, key: str, width: int = 500, wide: int = 1_000) -> DataFrame:
+    """Adds number, the row's place (from 1) in the order of key (long, unique), without bringing all rows to one task.
+
+    Rows are ranked in ranges of `width` keys; ranges' counts are summed up within `wide` ranges, and the counts of those
+    in turn, so that only one row for each width * wide keys meets in a task.
+    """
+    from pyspark.sql import Window
+
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("range", F.floor(F.col(key) / width))
+    ranges = rows.groupBy("range").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("range") / wide))
+    blocks = ranges.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("block_before"))
+    ranges = ranges.withColumn("range_before", before(Window.partitionBy("block").orderBy("range"))).join(blocks, "block")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(key))
+    return rows.withColumn("place", place).join(ranges.select("range", "range_before", "block_before"), "range").withColumn("number", F.col("block_before") + F.col("range_before") + F.col("place")).drop("range", "place", "range_before", "block_before")

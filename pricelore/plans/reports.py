@@ -24,14 +24,8 @@ def r1_duplicate_titles(d: Domain):
     return op.duplicate_groups(d.products, "title", [F.desc("size"), F.asc("product_id")], "product_id")
 
 
-@query("SELECT product_id, category FROM products p WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.product_id AND l.listing_id % 50 = 0)")
-def r2_orphans(d: Domain):
-    return op.orphans(d.products.select("product_id", "category"), d.listings.where("listing_id % 50 = 0"))
-
-
 @query("SELECT product_id, category FROM products p WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.product_id)")
-def r2_orphans_all(d: Domain):
-    """Over all listings; r2_orphans looks at every fiftieth."""
+def r2_orphans(d: Domain):
     return op.orphans(d.products.select("product_id", "category"), d.listings)
 
 
@@ -90,25 +84,13 @@ def c46_refresh_checks(d: Domain):
     return op.refresh_checks(prices.price_events(d.observations))
 
 
-@query(f""", {EVENTS}, w AS (SELECT user_id, product_id % 2000 AS product_id, min(target) AS target, bool_or(notify_on_drop) AS notify_on_drop FROM watches WHERE user_id % 20 = 0 GROUP BY user_id, product_id % 2000),
-joined AS (SELECT w.*, price, previous, stock, kind FROM w JOIN kinds k ON k.product_id = w.product_id),
-hits AS (SELECT *, 'AT_TARGET' AS event FROM joined WHERE stock <> 'out_of_stock' AND price <= target AND (previous IS NULL OR previous > target)
-  UNION ALL SELECT *, 'PRICE_DROP' FROM joined WHERE notify_on_drop AND stock <> 'out_of_stock' AND previous - price > 0 AND ((previous - price) * 50 >= previous OR previous - price >= 50000)
-  UNION ALL SELECT *, 'BACK_IN_STOCK' FROM joined WHERE kind = 'back_in_stock' UNION ALL SELECT *, 'OUT_OF_STOCK' FROM joined WHERE kind = 'out_of_stock')
-SELECT DISTINCT user_id, product_id, event, price, previous, stock, sha256(user_id || '|' || product_id || '|' || event || '|' || price || '|' || coalesce(CAST(previous AS VARCHAR), '') || '|' || stock) AS fingerprint FROM hits""")
-def c48_watch_events(d: Domain):
-    watches = d.watches.where("user_id % 20 = 0").groupBy("user_id", (F.col("product_id") % 2000).alias("product_id")).agg(F.min("target").alias("target"), F.bool_or("notify_on_drop").alias("notify_on_drop"))
-    return op.watch_events(watches, prices.price_events(d.observations))
-
-
 @query(f""", {EVENTS}, w AS (SELECT user_id, product_id % 2000 AS product_id, min(target) AS target, bool_or(notify_on_drop) AS notify_on_drop FROM watches GROUP BY user_id, product_id % 2000),
 joined AS (SELECT w.*, price, previous, stock, kind FROM w JOIN kinds k ON k.product_id = w.product_id),
 hits AS (SELECT *, 'AT_TARGET' AS event FROM joined WHERE stock <> 'out_of_stock' AND price <= target AND (previous IS NULL OR previous > target)
   UNION ALL SELECT *, 'PRICE_DROP' FROM joined WHERE notify_on_drop AND stock <> 'out_of_stock' AND previous - price > 0 AND ((previous - price) * 50 >= previous OR previous - price >= 50000)
   UNION ALL SELECT *, 'BACK_IN_STOCK' FROM joined WHERE kind = 'back_in_stock' UNION ALL SELECT *, 'OUT_OF_STOCK' FROM joined WHERE kind = 'out_of_stock')
 SELECT DISTINCT user_id, product_id, event, price, previous, stock, sha256(user_id || '|' || product_id || '|' || event || '|' || price || '|' || coalesce(CAST(previous AS VARCHAR), '') || '|' || stock) AS fingerprint FROM hits""")
-def c48_watch_events_all(d: Domain):
-    """Over all watches; c48_watch_events takes every twentieth user's."""
+def c48_watch_events(d: Domain):
     watches = d.watches.groupBy("user_id", (F.col("product_id") % 2000).alias("product_id")).agg(F.min("target").alias("target"), F.bool_or("notify_on_drop").alias("notify_on_drop"))
     return op.watch_events(watches, prices.price_events(d.observations))
 
@@ -134,14 +116,8 @@ def s10_upsert(d: Domain):
     return op.upsert(rows.where(F.col("observed_at") < middle), rows.where(F.col("observed_at") >= middle), "listing_id", "observed_at")
 
 
-@query("SELECT DISTINCT product_id FROM observations o WHERE product_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM products p WHERE p.product_id = o.product_id AND status = 'active')")
-def s11_insert_absent(d: Domain):
-    return op.insert_absent(d.products.where("status = 'active'").select("product_id"), d.observations.where("product_id % 3 = 0").select("product_id"), "product_id")
-
-
 @query("SELECT DISTINCT product_id FROM observations o WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_id = o.product_id AND status = 'active')")
-def s11_insert_absent_all(d: Domain):
-    """Over all observations; s11_insert_absent takes every third product's."""
+def s11_insert_absent(d: Domain):
     return op.insert_absent(d.products.where("status = 'active'").select("product_id"), d.observations.select("product_id"), "product_id")
 
 
@@ -185,11 +161,5 @@ def u1_affected_days(d: Domain):
 
 @query("SELECT product_id, category, best_price, CAST((rn - 1) // 100 AS BIGINT) AS page FROM (SELECT product_id, category, size * 100 AS best_price, row_number() OVER (ORDER BY product_id) AS rn FROM products WHERE status = 'active')")
 def s14_pages(d: Domain):
-    """Numbers pages of 100 over all products without bringing them to one task: counts of ranges first, then ranks in each."""
-    from pyspark.sql import Window
-
-    rows = d.products.where("status = 'active'").select("product_id", "category", (F.col("size") * 100).alias("best_price")).withColumn("range", F.floor(F.col("product_id") / 500))
-    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.range") < F.col("a.range"), "left").groupBy(F.col("a.range").alias("range")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    rn = F.row_number().over(Window.partitionBy("range").orderBy("product_id"))
-    return rows.withColumn("rn", rn).join(before, "range").select("product_id", "category", "best_price", F.floor((F.col("before") + F.col("rn") - 1) / 100).alias("page"))
+    rows = d.products.where("status = 'active'").select("product_id", "category", (F.col("size") * 100).alias("best_price"))
+    return op.numbered(rows, "product_id").select("product_id", "category", "best_price", F.floor((F.col("number") - 1) / 100).alias("page"))

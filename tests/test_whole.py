@@ -1,4 +1,4 @@
-"""The whole-table queries see rows that the sampled ones leave out."""
+"""Queries see all rows of their tables."""
 
 import datetime as dt
 from types import SimpleNamespace
@@ -20,9 +20,9 @@ def test_listings_off_the_samples_count(spark):
     listings = spark.createDataFrame(rows, "product_id long, listing_id long, platform string, price long, last_seen timestamp_ntz")
     products = spark.createDataFrame([(1, "laptop"), (2, "laptop"), (3, "laptop")], "product_id long, category string")
     d = SimpleNamespace(listings=listings, products=products)
-    assert ids(scheduling.q4_single_store_all(d), "product_id", "platform", "price", "hours") == [(2, "croma", 50, 24)]
-    assert ids(scheduling.q13_platform_pairs_all(d), "platforms", "n") == [("amazon,croma", 1), ("croma", 1)]
-    assert ids(reports.r2_orphans_all(d), "product_id") == [(3,)]
+    assert ids(scheduling.q4_single_store(d), "product_id", "platform", "price", "hours") == [(2, "croma", 50, 24)]
+    assert ids(scheduling.q13_platform_pairs(d), "platforms", "n") == [("amazon,croma", 1), ("croma", 1)]
+    assert ids(reports.r2_orphans(d), "product_id") == [(3,)]
 
 
 def test_observations_and_watches_off_the_samples_count(spark):
@@ -33,9 +33,9 @@ def test_observations_and_watches_off_the_samples_count(spark):
     products = spark.createDataFrame([(2, "active"), (1, "merged")], "product_id long, status string")
     watches = spark.createDataFrame([(7, 1, 150, True)], "user_id long, product_id long, target long, notify_on_drop boolean")
     d = SimpleNamespace(observations=observations, products=products, watches=watches)
-    assert ids(reports.c48_watch_events_all(d), "user_id", "product_id", "event", "price") == [(7, 1, "AT_TARGET", 100), (7, 1, "PRICE_DROP", 100)]
-    assert ids(reports.s11_insert_absent_all(d), "product_id") == [(1,)]
-    assert ids(prices.c7i_product_days_again_all(d), "product_id", "day", "best_price", "all_time_low") == [(1, AT.date(), 100, 100)]
+    assert ids(reports.c48_watch_events(d), "user_id", "product_id", "event", "price") == [(7, 1, "AT_TARGET", 100), (7, 1, "PRICE_DROP", 100)]
+    assert ids(reports.s11_insert_absent(d), "product_id") == [(1,)]
+    assert ids(prices.c7i_product_days_again(d), "product_id", "day", "best_price", "all_time_low") == [(1, AT.date(), 100, 100)]
 
 
 def test_variants_of_large_groups_are_linked_and_never_similar(spark):
@@ -53,5 +53,5 @@ def test_candidates_of_listings_off_the_sample(spark):
     listings = spark.createDataFrame([(7, 1, "laptop"), (8, 2, "laptop"), (12, 3, "camera")], "listing_id long, product_id long, category string")
     products = spark.createDataFrame([(1, "laptop", "b"), (2, "laptop", "b"), (3, "camera", "b")], "product_id long, category string, brand string")
     d = SimpleNamespace(listings=listings, products=products)
-    assert ids(search.c38_candidates_all(d), "listing_id", "product_id", "sources") == [(7, 1, "brand,same"), (7, 2, "brand"), (8, 1, "brand"), (8, 2, "brand,same"), (12, 3, "brand,same")]
-    assert ids(search.c39_choose_match_all(d), "listing_id", "product_id", "state") == [(7, 1, "matched"), (8, 2, "matched"), (12, 3, "needs_review")]
+    assert ids(search.c38_candidates(d), "listing_id", "product_id", "sources") == [(7, 1, "brand,same"), (7, 2, "brand"), (8, 1, "brand"), (8, 2, "brand,same"), (12, 3, "brand,same")]
+    assert ids(search.c39_choose_match(d), "listing_id", "product_id", "state") == [(7, 1, "matched"), (8, 2, "matched"), (12, 3, "needs_review")]
