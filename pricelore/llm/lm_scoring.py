@@ -25,6 +25,8 @@ KNOWN = 50_000
 #: Tokens seen on each side, size of the hidden layer, and rounds of training, in which the positions take turns.
 SIDE, HIDDEN, ROUNDS = 2, 16, 2
 BATCH, RATE = 2_048, 0.5
+#: Rows whose logits are held at once.
+AT_ONCE = 256
 #: Different words that a task counts before it passes them on.
 COUNTED = 300_000
 
@@ -110,29 +112,65 @@ def contexts(classes: np.ndarray) -> np.ndarray:
     return np.stack([padded[i : i + n] for i in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
 
+def hidden_values(network: list[np.ndarray], context: np.ndarray) -> np.ndarray:
+    """Of each row, with a one after them for the biases."""
+    found = np.ones((len(context), HIDDEN + 1), dtype=np.float32)
+    hidden = network[0].take(context[:, 0], axis=0)
+    for i in range(1, 2 * SIDE):
+        hidden += network[i].take(context[:, i], axis=0)
+    np.tanh(hidden, out=found[:, :HIDDEN])
+    return found
+
+
+def output_weights(network: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+    """Of each class, with its bias (less the largest one) last; whether logits may be too large for exp in single precision."""
+    weights = np.concatenate([network[-2], (network[-1] - network[-1].max())[:, None]], axis=1)
+    return weights, bool(np.abs(network[-2]).sum(axis=1).max() > 80)
+
+
 def forward(network: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden values, and log-probabilities of all classes."""
-    hidden = np.tanh(sum(network[i][context[:, i]] for i in range(2 * SIDE)))
-    z = hidden @ network[-2].T
-    z += network[-1]
+    hidden = hidden_values(network, context)
+    z = hidden @ output_weights(network)[0].T
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return hidden, z
+    return hidden[:, :HIDDEN], z
+
+
+def own_log_probability(network: list[np.ndarray], context: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of each token's own class; rows go AT_ONCE, so that their logits stay in the processor's cache."""
+    (weights, large), found, ones = output_weights(network), np.empty(len(own), dtype=np.float64), np.ones(CLASSES, dtype=np.float32)
+    for at in range(0, len(own), AT_ONCE):
+        part = own[at : at + AT_ONCE]
+        z = hidden_values(network, context[at : at + AT_ONCE]) @ weights.T
+        if large:
+            z -= z.max(axis=1, keepdims=True)
+        mine = z[np.arange(len(part)), part]
+        found[at : at + AT_ONCE] = mine - np.log(np.exp(z, out=z) @ ones)
+    return found
 
 
 def learn(network: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> None:
-    """One step of gradient descent, in place."""
-    n = len(target)
-    hidden, z = forward(network, context)
-    slope = np.exp(z, out=z)
-    slope[np.arange(n), target] -= 1
-    slope *= RATE / n
-    back = slope @ network[-2] * (1 - hidden**2)
-    network[-2] -= slope.T @ hidden
-    network[-1] -= slope.sum(axis=0)
+    """One step of gradient descent over all rows given, in place; their gradients are summed up over AT_ONCE rows each."""
+    (weights, large), n, ones = output_weights(network), len(target), np.ones(CLASSES, dtype=np.float32)
+    step, back = np.zeros_like(weights), np.empty((n, HIDDEN), dtype=np.float32)
+    for at in range(0, n, AT_ONCE):
+        own = target[at : at + AT_ONCE]
+        hidden = hidden_values(network, context[at : at + AT_ONCE])
+        slope = hidden @ weights.T
+        if large:
+            slope -= slope.max(axis=1, keepdims=True)
+        np.exp(slope, out=slope)
+        slope *= (np.float32(RATE / n) / (slope @ ones))[:, None]
+        slope[np.arange(len(own)), own] -= np.float32(RATE / n)
+        back[at : at + AT_ONCE] = (slope @ network[-2]) * (1 - hidden[:, :HIDDEN] ** 2)
+        step += slope.T @ hidden
+    network[-2] -= step[:, :HIDDEN]
+    network[-1] -= step[:, HIDDEN]
+    places = np.arange(HIDDEN)
     for i in range(2 * SIDE):
-        for j in range(HIDDEN):
-            network[i][:, j] -= np.bincount(context[:, i], back[:, j], minlength=CLASSES + 1).astype(np.float32) * 4
+        at = (context[:, i, None] * HIDDEN + places).ravel()
+        network[i] -= np.bincount(at, back.ravel(), minlength=network[i].size).reshape(-1, HIDDEN).astype(np.float32) * 4
 
 
 @lru_cache(maxsize=2)
@@ -143,29 +181,38 @@ def rows_of(shared) -> Rows:
 def train(docs: DataFrame, vocab: Vocabulary) -> None:
     """Fits vocab.network on every token of all documents.
 
-    A round trains on every ROUNDS-th position of each text, from a hash of the text on; the next round on the next ones. In each round every task goes on from the round's network over its partition, and the results are averaged, weighted
-    by tokens: a sum over rows of the parameters, of which as many come back as the network has, whatever the input.
+    The tokens' classes are written once, a byte each. A round trains on every ROUNDS-th position of each text, from a hash
+    of the text on; the next round on the next ones. In each round every task goes on from the round's network over its
+    partition, and the results are averaged, weighted by tokens: a sum over rows of the parameters, of which as many come
+    back as the network has, whatever the input.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
+    known = spark.sparkContext.broadcast(vocab)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, classes = rows_of(known), known.value.classes.astype(np.uint8)
+        for batch in batches:
+            each = [(zlib.crc32(t), words(t)) for t in (x.as_py() or b"" for x in batch.column(0))]
+            codes = [classes[np.fromiter(map(rows.__getitem__, w), dtype=np.int64, count=len(w))].tobytes() for _, w in each]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in each], pa.int64()), pa.array(codes, pa.binary())], names=["hash", "codes"])
+
+    texts = written(texts.mapInArrow(coded, "hash long, codes binary"), "lm-codes")  # a byte for each token
     vocab.network = fresh_network(vocab.frequency)
     sizes = [x.size // HIDDEN for x in vocab.network]
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(vocab)
+        shared = spark.sparkContext.broadcast(vocab.network)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            rows, v = rows_of(shared), shared.value
-            network, n = [x.copy() for x in v.network], 0
+            network, n = [x.copy() for x in shared.value], 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
             n_held = 0
             for batch in batches:
-                for text in batch.column(0):
-                    text = text.as_py()
-                    parts = words(text)
-                    if not parts:
+                for code, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    c = np.frombuffer(codes.as_buffer(), dtype=np.uint8).astype(np.int32)
+                    if not len(c):
                         continue
-                    c = v.classes[np.fromiter(map(rows.__getitem__, parts), dtype=np.int64, count=len(parts))]
-                    at = np.arange((turn + zlib.crc32(text)) % ROUNDS, len(c), ROUNDS)
+                    at = np.arange((turn + code) % ROUNDS, len(c), ROUNDS)
                     held.append((contexts(c)[at], c[at]))
                     n_held += len(at)
                     if n_held >= BATCH:
@@ -199,11 +246,7 @@ def log_probabilities(vocab: Vocabulary, rows: Rows, parts: list[bytes]) -> np.n
         return np.zeros(0)
     row = np.fromiter(map(rows.__getitem__, parts), dtype=np.int64, count=len(parts))
     c = vocab.classes[row]
-    context, found = contexts(c), vocab.shares[row].astype(np.float64)
-    for at in range(0, len(c), 4_096):
-        own = c[at : at + 4_096]
-        found[at : at + 4_096] += forward(vocab.network, context[at : at + 4_096])[1][np.arange(len(own)), own]
-    return found
+    return vocab.shares[row] + own_log_probability(vocab.network, contexts(c), c)
 
 
 def score(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -250,10 +293,7 @@ def apart(vocab: Vocabulary, rows: Rows, tokens: list[bytes | None], n: np.ndarr
     real = row >= 0
     c = np.where(real, vocab.classes[row], CLASSES)
     at = np.flatnonzero(real)
-    context, own, found = contexts(c)[at], c[at], vocab.shares[row[at]].astype(np.float64)
-    for i in range(0, len(at), 4_096):
-        part = own[i : i + 4_096]
-        found[i : i + 4_096] += forward(vocab.network, context[i : i + 4_096])[1][np.arange(len(part)), part]
+    found = vocab.shares[row[at]] + own_log_probability(vocab.network, contexts(c)[at], c[at])
     owner = np.repeat(np.arange(len(n)), n)
     return np.bincount(owner, found, minlength=len(n))
 
