@@ -54,6 +54,9 @@ class Rows(dict):
     def __missing__(self, word: bytes) -> int:
         return self.rare
 
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, parts), dtype=np.int32, count=len(parts))
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n: counts of all words of all whole texts; tasks count before they pass on."""
@@ -193,9 +196,11 @@ def train(docs: DataFrame, vocab: Vocabulary) -> None:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, classes = rows_of(known), known.value.classes.astype(np.uint8)
         for batch in batches:
-            each = [(zlib.crc32(t), words(t)) for t in (x.as_py() or b"" for x in batch.column(0))]
-            codes = [classes[np.fromiter(map(rows.__getitem__, w), dtype=np.int64, count=len(w))].tobytes() for _, w in each]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in each], pa.int64()), pa.array(codes, pa.binary())], names=["hash", "codes"])
+            hashes, codes = [], []
+            for text in (x.as_py() or b"" for x in batch.column(0)):
+                hashes.append(zlib.crc32(text))
+                codes.append(classes[rows.of(words(text))].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(codes, pa.binary())], names=["hash", "codes"])
 
     texts = written(texts.mapInArrow(coded, "hash long, codes binary"), "lm-codes")  # a byte for each token
     vocab.network = fresh_network(vocab.frequency)
@@ -259,22 +264,20 @@ def score(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, v = rows_of(shared), shared.value
-        row, known = TaskContext.get().partitionId() << 40, v.rows
+        row = TaskContext.get().partitionId() << 40
         kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
-        for batch in batches:
-            each = [words(t.as_py()) for t in batch.column(1)]
-            n = np.array([len(x) for x in each], dtype=np.int64)
-            sums = np.zeros(len(n))
-            begin = 0
-            while begin < len(n):  # documents together, about 65,536 tokens or one document at a time
-                end = max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), 65_536)) + begin)
-                gap = [w for x in each[begin:end] for w in (*x, *[None] * SIDE)]
-                sums[begin:end] = apart(v, rows, gap, n[begin:end])
-                begin = end
-            rare = [[{"word": w, "k": k} for w, k in Counter(w for w in x if w not in known).items()] for x in each]
-            at = pa.array(np.arange(row, row + len(n)))
-            row += len(n)
-            yield pa.RecordBatch.from_arrays([at, batch.column(0), pa.array(n), pa.array(sums), pa.array(rare, kind)], names=["row", "doc_id", "n_tokens", "once", "rare"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 200):
+                batch, each, rare = whole.slice(begin, 200), [], []
+                for text in batch.column(1):
+                    parts = words(text.as_py())
+                    own = rows.of(parts)
+                    seldom = Counter(map(parts.__getitem__, np.flatnonzero(own == rows.rare).tolist()))
+                    each.append(own)
+                    rare.append([{"word": w, "k": k} for w, k in seldom.items()])
+                n, at = np.array([len(x) for x in each], dtype=np.int64), pa.array(np.arange(row, row + len(each)))
+                row += len(each)
+                yield pa.RecordBatch.from_arrays([at, batch.column(0), pa.array(n), pa.array(sums(v, each)), pa.array(rare, kind)], names=["row", "doc_id", "n_tokens", "once", "rare"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     found = written(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, once double, rare array<struct<word:binary,k:int>>"), "lm-scores")
@@ -286,16 +289,18 @@ def score(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     return found.drop("rare").join(more, "row", "left").select("doc_id", "n_tokens", whole.alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))
 
 
-def apart(vocab: Vocabulary, rows: Rows, tokens: list[bytes | None], n: np.ndarray) -> np.ndarray:
-    """Sums of log-probabilities of texts of n tokens each, given one after another with SIDE times None after each."""
-    get = rows.__getitem__
-    row = np.fromiter((-1 if t is None else get(t) for t in tokens), dtype=np.int64, count=len(tokens))
-    real = row >= 0
-    c = np.where(real, vocab.classes[row], CLASSES)
-    at = np.flatnonzero(real)
-    found = vocab.shares[row[at]] + own_log_probability(vocab.network, contexts(c)[at], c[at])
-    owner = np.repeat(np.arange(len(n)), n)
-    return np.bincount(owner, found, minlength=len(n))
+def sums(vocab: Vocabulary, each: list[np.ndarray]) -> np.ndarray:
+    """Sums of log-probabilities of texts, given as their words' rows."""
+    none = np.full(SIDE, -1, dtype=np.int32)
+    row = np.concatenate([none, *(x for own in each for x in (own, none))])  # what is beside a text is none of its neighbours
+    c = np.where(row >= 0, vocab.classes[row], CLASSES)
+    at = np.flatnonzero(row >= 0)
+    found = np.empty(len(at), dtype=np.float64)
+    for i in range(0, len(at), 1 << 16):
+        part = at[i : i + (1 << 16)]
+        context = c[part[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
+        found[i : i + (1 << 16)] = vocab.shares[row[part]] + own_log_probability(vocab.network, context, c[part])
+    return np.bincount(np.repeat(np.arange(len(each)), [len(x) for x in each]), found, minlength=len(each))
 
 
 def model(docs: DataFrame) -> Vocabulary:
