@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from functools import lru_cache
@@ -15,17 +16,15 @@ REMEMBERED = 600_000
 AT_ONCE = 4_000
 
 
-class Plain:
-    """The tokenizer as the library gives it, for texts that hold one of its special strings, which it gives ids of their own."""
+class Special:
+    """Finds the tokenizer's special strings, which it gives ids of their own, in texts."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+    def __init__(self, contents: list[str]):
+        self.beginning = os.path.commonprefix(contents)
+        self.pattern = re.compile("|".join(map(re.escape, contents)) or "(?!)")
 
-    def __call__(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def inside(self, text: str) -> bool:
+        return self.beginning in text and self.pattern.search(text) is not None
 
 
 class WordEncoder:
@@ -38,8 +37,8 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Plain(path)
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = Special([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -52,6 +51,14 @@ class WordEncoder:
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text with special strings, as the tokenizer gives them when nothing is set."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.plain(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def letters(self, texts: list[str]) -> list[bytes]:
         """Ids of many texts of letters only, by few calls: joined by blanks, and cut after each token that ends a word."""
         found: list[bytes] = []
@@ -112,7 +119,7 @@ class WordEncoder:
             young[key] = cores[core] + ends[end]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if t and self.whole.special.search(t)}
+        odd = {i for i, t in enumerate(texts) if t and self.special.inside(t)}
         cut = [t.replace("\n", " ").split(" ") if t and i not in odd else [] for i, t in enumerate(texts)]
         self.learn(set().union(*cut))
         get = self.young.__getitem__
@@ -134,17 +141,21 @@ class RankEncoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Plain(path)
+        with open(path, encoding="utf-8") as file:
+            self.special = Special([t["content"] for t in json.load(file)["added_tokens"]])
+        self.path, self.tokenizer = path, None
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.whole.special.search(text):
-            return self.whole(text)
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        """Ids of a text with special strings, by the tokenizer itself."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        return list(map(self.ids, texts))
+        encode, inside = self.encoding.encode_to_numpy, self.special.inside
+        return [b"" if not t else self.whole(t) if inside(t) else encode(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
