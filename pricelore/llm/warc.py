@@ -125,8 +125,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "at": F.monotonically_increasing_id()})
-    top = rows.groupBy("sha").agg(F.max(F.struct("page_id", "at")).alias("top"))
-    lines = rows.join(top, "sha").select("page_id", "url", "payload", F.col("top.page_id").alias("top"), (F.col("at") == F.col("top.at")).alias("first")).mapInArrow(run, "value string")
+    top = rows.groupBy("sha").agg(F.max("page_id").alias("top"), F.max_by("at", "page_id").alias("top_at"))
+    lines = rows.join(top, "sha").select("page_id", "url", "payload", "top", (F.col("at") == F.col("top_at")).alias("first")).mapInArrow(run, "value string")
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
