@@ -93,8 +93,10 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset and Spark local (tests)."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pricelore-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='pricelore-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
