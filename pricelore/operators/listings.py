@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pricelore.functions import offers, specs, text
-from pricelore.operators import matching
+from pricelore.operators import browse, matching
 
 MATCH, REVIEW = 82.0, 70.0
 #: Texts are compared letter by letter up to this length, which bounds one pair's work.
@@ -82,7 +82,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similarities(pairs: DataFrame) -> DataFrame:
-    """Adds jaccard, sequence, score and weak to pairs with the flags of matching.conflicts(): a score of -100 where one is set.
+    """Adds jaccard, sequence, shares_code, n_signals, score and weak to pairs with the flags of matching.conflicts(): a score of -100 where one is set.
 
     Texts are compared without promotions. Without a shared model code and with fewer than three equal signals a
     score is kept under the threshold of a match, or of a review where the titles differ as well.
@@ -107,6 +107,7 @@ def similarities(pairs: DataFrame) -> DataFrame:
     out = out.withColumns({"raw": score, "thin": thin, "alike": alike, "conflict": conflict})
     capped = F.when(F.col("alike"), F.least(F.greatest("raw", F.lit(REVIEW + 2)), F.lit(MATCH - 0.5))).when(F.col("raw") < 92, F.least("raw", F.lit(REVIEW - 1))).otherwise(F.col("raw"))
     final = F.when(F.col("conflict"), -100.0).otherwise(F.round(F.when(F.col("thin"), capped).otherwise(F.col("raw")), 2))
+    out = out.withColumns({"shares_code": model, "n_signals": n + same(a("gpu"), b("gpu")).cast("int")})
     return out.withColumns({"score": final, "weak": F.col("thin") & ~F.col("alike") & (F.col("raw") < 92) & ~F.col("conflict")}).drop("raw", "thin", "alike", "conflict")
 
 
@@ -123,6 +124,38 @@ def assessments(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"merge_allowed": F.col("verdict") == "exact", "needs_review": (F.col("verdict") == "related") & (F.col("points") >= REVIEW)})
 
 
+def safe_merges(pairs: DataFrame) -> DataFrame:
+    """title_id, target, points: for each second of assessed pairs that may merge unseen, the first with the most points, then the smallest id.
+
+    Safe are exact identities, and pairs of 92 points or more of one category and brand, not weak, with an equal
+    variant_key, a shared code and another signal, or many signals and like titles. Targets have smaller ids, so that
+    no chain of them loops. One hash aggregation.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    kin = (a("category") == b("category")) & (F.coalesce(a("brand"), F.lit("")) == F.coalesce(b("brand"), F.lit("")))
+    many = ((F.col("n_signals") >= 5) & (F.col("jaccard") >= 0.38)) | ((F.col("points") >= 98) & (F.col("n_signals") >= 4) & (F.col("sequence") >= 0.55))
+    strong = F.coalesce(a("variant_key") == b("variant_key"), F.lit(False)) | (F.col("shares_code") & (F.col("n_signals") >= 2)) | many
+    safe = pairs.where((F.col("verdict") != "conflict") & (F.col("points") >= 92) & ((F.col("relation") == "exact") | (~F.col("weak") & kin & strong)))
+    best = F.struct("points", (-a("title_id")).alias("id"))
+    by = safe.groupBy(b("title_id").alias("title_id")).agg(F.max(best).alias("best"))
+    return by.select("title_id", (-F.col("best.id")).alias("target"), "best.points")
+
+
+def suggestions(text_: str, ranked: DataFrame, categories: DataFrame, limit: int = 6, most_categories: int = 4) -> DataFrame:
+    """kind, position, value: the first products of a ranked search and the categories (place, slug, words) that a query's text or words occur in.
+
+    A declared top-k. A query under two characters has all categories and no products.
+    """
+    asked = text_.strip().lower()
+    top = lambda rows, order, kind, value: browse.page(rows, order, limit if kind == "product" else most_categories).select(F.lit(kind).alias("kind"), F.col("position").cast("long").alias("position"), F.col(value).cast("string").alias("value"))
+    if len(asked) < 2:
+        return categories.select(F.lit("category").alias("kind"), F.col("place").cast("long").alias("position"), F.col("slug").alias("value"))
+    named = F.lower("words").contains(asked)
+    for word in (w for w in asked.split() if len(w) > 1):
+        named = named | F.lower("words").contains(word)
+    return top(ranked, [F.desc("score"), F.asc("product_id")], "product", "product_id").unionByName(top(categories.where(named), [F.asc("place")], "category", "slug"))
+
+
 def same_identity(rows: DataFrame, key: str) -> DataFrame:
     """head, the row of a key with most shops, then most listings, then smallest title_id; and n, its rows. Null keys stay alone.
 

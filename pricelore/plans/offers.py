@@ -11,6 +11,8 @@ from pricelore.functions import specs
 from pricelore.operators import listings as op
 from pricelore.operators import matching
 from pricelore.plans.base import Registry
+from pricelore.plans.catalog import SEARCH
+from pricelore.plans.catalog import found as ranked_search
 from pricelore.plans.matching import IDENTITIES_SQL, PAIRS_SQL, TITLES_SQL, titles
 from pricelore.plans.text import ladder
 from pricelore.sources import records
@@ -250,6 +252,25 @@ def c37_assessments(d: Domain):
     return found.select(F.col("a.title_id").alias("title_id"), F.col("b.title_id").alias("other_id"), "verdict", "points", "merge_allowed", "needs_review")
 
 
+@query()
+def c40_safe_merges(d: Domain):
+    """Every duplicate that may merge unseen, among identities that share a code. No SQL, as for c36."""
+    found = matching.identities(titles(d)).withColumn("variant_key", op.variant_key(F.col("title")))
+    return op.safe_merges(op.code_relations(found))
+
+
+WORDS = ["laptop notebook macbook", "smartphone mobile phone iphone", "television tv smart tv", "refrigerator fridge", "washing_machine washing machine washer", "tws earbuds buds", "headphones headset", "camera dslr mirrorless"]
+
+
+@query(f""", {SEARCH}, asked AS (SELECT unnest(range(1, {len(WORDS) + 1})) AS place, unnest({specs.sql_list(CATEGORIES)}) AS slug, unnest({specs.sql_list(WORDS)}) AS words),
+named AS (SELECT row_number() OVER (ORDER BY place) AS position, slug FROM asked WHERE contains(words, 'smart phone') OR contains(words, 'smart') OR contains(words, 'phone'))
+SELECT 'product' AS kind, rn AS position, CAST(product_id AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (ORDER BY score DESC, product_id) AS rn FROM ranked) WHERE rn <= 6
+UNION ALL SELECT 'category', position, slug FROM named WHERE position <= 4""")
+def c30_suggestions(d: Domain):
+    categories = d.spark.createDataFrame(list(zip(range(1, len(WORDS) + 1), CATEGORIES, WORDS)), "place int, slug string, words string")
+    return op.suggestions("Smart phone", ranked_search(d), categories)
+
+
 @query(f"""{IDENTITIES_SQL}, had AS (SELECT title_id, category || '|' || brand || '|' || model_codes[1] || '|' || coalesce(CAST(ram_gb AS VARCHAR), '') AS identity_key, title_id % 4 AS n_stores, title_id % 9 AS n_listings FROM identities),
 heads AS (SELECT identity_key, first(title_id ORDER BY n_stores DESC, n_listings DESC, title_id) AS head, count(*) AS n FROM had WHERE identity_key IS NOT NULL GROUP BY identity_key)
 SELECT title_id, coalesce(head, title_id) AS head, coalesce(n, 1) AS n FROM had LEFT JOIN heads USING (identity_key)""")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricelore.operators import activity as counters
 from pricelore.operators import prices
-from pricelore.plans.activity import HOURS
+from pricelore.plans.activity import HOURS, NOW
 from pricelore.plans.base import Registry
 from pricelore.plans.prices import DAYS
-from pricelore.sources.views import PLATFORMS, Domain
+from pricelore.sources.views import EVENTS_AS_OF, PLATFORMS, Domain, nth
 from pricelore.streaming import activity as st
 
 registry = Registry()
@@ -17,6 +18,11 @@ query = registry.query
 
 @query(f", {HOURS} SELECT product_id, event_type, hour, CAST(n AS BIGINT) AS n FROM hours")
 def st1_hourly_stream(d: Domain):
+    return streamed_hours(d)
+
+
+def streamed_hours(d: Domain):
+    """The hourly counters as a stream over the events keeps them."""
     events = st.file_stream(d.spark, d.sf_dir, "events.parquet")
     client = F.when(F.col("event_id") % 10 != 0, F.col("user_id"))
     rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), client.alias("client_id"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("product_id"))
@@ -26,6 +32,33 @@ def st1_hourly_stream(d: Domain):
     return found.select("product_id", "event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
+@query(f""", {HOURS} SELECT product_id, CAST(coalesce(sum(CASE WHEN hour >= {NOW} - INTERVAL 24 HOUR THEN n END), 0) AS BIGINT) AS day, CAST(sum(n) AS BIGINT) AS week
+FROM hours WHERE hour >= {NOW} - INTERVAL 168 HOUR AND hour < {NOW} GROUP BY product_id""")
+def st3_rolling_stream(d: Domain):
+    """Sums over the last day and week out of the counters that a stream keeps."""
+    hours = streamed_hours(d).where(counters.hours_before("hour", EVENTS_AS_OF, 168))
+    day = F.coalesce(F.sum(F.when(counters.hours_before("hour", EVENTS_AS_OF, 24), F.col("n"))), F.lit(0))
+    return hours.groupBy("product_id").agg(day.alias("day"), F.sum("n").alias("week"))
+
+
+@query(f""", {HOURS}, sums AS (SELECT product_id, CAST(coalesce(sum(CASE WHEN hour >= {NOW} - INTERVAL 48 HOUR AND hour < {NOW} THEN n END), 0) AS BIGINT) AS recent,
+  CAST(coalesce(sum(CASE WHEN hour >= {NOW} - INTERVAL 96 HOUR AND hour < {NOW} - INTERVAL 48 HOUR THEN n END), 0) AS BIGINT) AS baseline FROM hours GROUP BY product_id)
+SELECT *, round(recent / CAST(greatest(baseline, 1) AS DOUBLE), 4) AS momentum FROM sums WHERE recent >= 3 AND (baseline = 0 OR recent > baseline)""")
+def st4_trending_stream(d: Domain):
+    """Recent hours against those before, out of the counters that a stream keeps."""
+    return counters.trending(streamed_hours(d), EVENTS_AS_OF)
+
+
+@query()
+def st9_breaker_stream(d: Domain):
+    """An ordered fold: no SQL; a test holds it against the batch form."""
+    events = st.file_stream(d.spark, d.sf_dir, "events.parquet")
+    rows = events.select(nth(PLATFORMS, F.col("user_id")).alias("platform"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("check_id"), (F.col("event_type") != "error").alias("ok"))
+    path = st.scratch(d.spark, "breaker")
+    st.kept_updates(st.breaker(rows), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return st.latest(d.spark, f"{path}/out", ["platform"])
+
+
 KINDS = """SELECT observation_id, listing_id, price, previous, CASE WHEN stock_before IS NULL THEN 'initial' WHEN stock = 'out_of_stock' AND stock_before <> 'out_of_stock' THEN 'out_of_stock'
   WHEN stock <> 'out_of_stock' AND stock_before = 'out_of_stock' THEN 'back_in_stock' WHEN price < previous THEN 'drop' WHEN price > previous THEN 'rise' ELSE 'unchanged' END AS kind
 FROM (SELECT *, lag(price) OVER w AS previous, lag(stock) OVER w AS stock_before FROM observations WHERE listing_id % 7 = 0 WINDOW w AS (PARTITION BY listing_id ORDER BY observed_at, observation_id))"""

@@ -62,6 +62,32 @@ def price_kinds(observations: DataFrame) -> DataFrame:
     )
 
 
+def breaker(checks: DataFrame, trip: int = 3, cooldown_hours: int = 6) -> DataFrame:
+    """Updates of each platform's breaker: state, failures in a row, times it opened, checks skipped and seen.
+
+    checks: a stream of platform, ts (timestamp), check_id, ok. `trip` failures in a row open it; while it is open, checks
+    before the cooldown are skipped. Rows of one micro-batch are taken in the order of time; the state is six values.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        mode, streak, opened, skipped, n, until = state.get if state.exists else ("closed", 0, 0, 0, 0, 0)
+        for r in pd.concat(list(frames)).sort_values(["ts", "check_id"]).itertuples():
+            at, n = int(r.ts.value // 10**9), n + 1
+            if mode == "open" and at < until:
+                skipped += 1
+            elif r.ok:
+                mode, streak = "closed", 0
+            else:
+                streak += 1
+                if streak >= trip:
+                    mode, opened, until = "open", opened + 1, at + 3600 * cooldown_hours
+        state.update((mode, streak, opened, skipped, n, until))
+        yield pd.DataFrame([(key[0], mode, streak, opened, skipped, n)], columns=["platform", "state", "streak", "opened", "skipped", "n"])
+
+    out = "platform string, state string, streak long, opened long, skipped long, n long"
+    return checks.groupBy("platform").applyInPandasWithState(step, out, "state string, streak long, opened long, skipped long, n long, until long", "update", "NoTimeout")
+
+
 def recompute(stream: DataFrame, keys: list[str], rebuild: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Starts a query that, for each micro-batch, rebuilds the rows of the keys that have changed and adds them to path.
 

@@ -140,3 +140,32 @@ def test_records_of_lists_and_of_objects(spark, tmp_path):
     (tmp_path / "object.json").write_text('{"records": [{"a": 3, "b": "y"}]}')
     (tmp_path / "none.json").write_text('{"records": []}')
     assert sorted(records.read_records(spark, str(tmp_path), schema).collect()) == [(1, "x"), (2, None), (3, "y")]
+
+
+def test_safe_merges_point_to_smaller_ids(spark):
+    base = "HP Pavilion 15 FX1234TU Core i5-12450H 8GB RAM 512GB SSD"
+    titles = [base, base + " Windows 11", base.replace("8GB", "16GB"), "HP Pavilion 15 FX1234TU", "HP 15s 512GB SSD"]
+    rows = found(spark, titles).withColumn("variant_key", op.variant_key(F.col("title")))
+    joined = rows.select(F.struct("*").alias("a")).crossJoin(rows.select(F.struct("*").alias("b"))).where("a.title_id < b.title_id")
+    got = op.safe_merges(op.assessments(op.similarities(matching.relations(matching.conflicts(joined))))).collect()
+    assert sorted((r.title_id, r.target) for r in got) == [(1, 0), (3, 0)]
+
+
+def test_short_queries_suggest_categories_only(spark):
+    ranked = spark.createDataFrame([(1, 2.0), (2, 2.0)], "product_id long, score double")
+    categories = spark.createDataFrame([(1, "tv", "tv Television"), (2, "camera", "camera")], "place int, slug string, words string")
+    suggest = lambda q: sorted((r.kind, r.position, r.value) for r in op.suggestions(q, ranked, categories, limit=1).collect())
+    assert suggest(" t") == [("category", 1, "tv"), ("category", 2, "camera")]
+    assert suggest("LED television") == [("category", 1, "tv"), ("product", 1, "1")]
+
+
+def test_streamed_breaker_equals_the_batch_form(spark):
+    import os
+
+    from pricelore import plans
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables here")
+    rows = [sorted(tuple(r[c] for c in ("platform", "state", "streak", "opened", "skipped", "n")) for r in plans.QUERIES[q](spark, sf).collect()) for q in ("q9_circuit_breaker", "st9_breaker_stream")]
+    assert rows[0] == rows[1] and rows[0]
