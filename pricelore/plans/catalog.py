@@ -121,26 +121,23 @@ def j12_similar_titles(d: Domain):
     return op.similar_titles(titles(d), 0.6)
 
 
-POOLS = """exact AS (SELECT l.listing_id, p.product_id, 1.0 AS similarity, 'same' AS source, 0 AS r FROM listings l JOIN products p ON p.product_id = l.product_id WHERE l.product_id % 40 = 0),
-brand AS (SELECT l.listing_id, q.product_id, 0.5, 'brand', 1 FROM listings l JOIN products p ON p.product_id = l.product_id JOIN products q ON q.category = p.category AND q.brand = p.brand WHERE l.product_id % 40 = 0),
+POOLS = """exact AS (SELECT l.listing_id, p.product_id, 1.0 AS similarity, 'same' AS source, 0 AS r FROM listings l JOIN products p ON p.product_id = l.product_id),
+brand AS (SELECT l.listing_id, q.product_id, 0.5, 'brand', 1 FROM listings l JOIN products p ON p.product_id = l.product_id JOIN products q ON q.category = p.category AND q.brand = p.brand),
 pool AS (SELECT * FROM exact UNION ALL SELECT * FROM brand),
 merged AS (SELECT listing_id, product_id, CAST(max(similarity) AS DOUBLE) AS similarity, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min(r) AS "rank" FROM pool GROUP BY listing_id, product_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY "rank", similarity DESC, product_id) AS position FROM merged)"""
 
 
-POOLS_ALL = POOLS.replace(" WHERE l.product_id % 40 = 0", "")
-
-
-def pools(d: Domain, every: int = 40):
-    asked = d.listings.where(F.col("product_id") % every == 0).join(d.products.select("product_id", "brand"), "product_id")
+def pools(d: Domain):
+    asked = d.listings.join(d.products.select("product_id", "brand"), "product_id")
     same = asked.select("listing_id", "product_id", F.lit(1.0).alias("similarity"))
     brand = asked.select("listing_id", "category", "brand").join(d.products.select("product_id", "category", "brand"), ["category", "brand"]).select("listing_id", "product_id", F.lit(0.5).alias("similarity"))
     return op.candidate_pools({"same": same, "brand": brand}, 13)
 
 
-@query(f", {POOLS_ALL} SELECT * FROM placed WHERE position <= 13")
+@query(f", {POOLS} SELECT * FROM placed WHERE position <= 13")
 def c38_candidates(d: Domain):
-    return pools(d, 1).withColumn("sources", F.array_join("sources", ","))
+    return pools(d).withColumn("sources", F.array_join("sources", ","))
 
 
 JUDGED = """judged AS (SELECT *, 60.0 + 40.0 * similarity - position AS score, similarity = 1 AND listing_id % 3 <> 0 AS may_merge FROM placed WHERE position <= 13),
@@ -148,9 +145,9 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY may_mer
 SELECT listing_id, CASE WHEN may_merge OR score >= 70 THEN product_id END AS product_id, CAST(score AS DOUBLE) AS score, CASE WHEN may_merge THEN 'matched' WHEN score >= 70 THEN 'needs_review' ELSE 'unmatched' END AS state FROM firsts WHERE rn = 1"""
 
 
-@query(f", {POOLS_ALL}, {JUDGED}")
+@query(f", {POOLS}, {JUDGED}")
 def c39_choose_match(d: Domain):
-    return matches(pools(d, 1))
+    return matches(pools(d))
 
 
 def matches(found):
