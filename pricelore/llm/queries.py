@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm import licenses, lm_scoring, mixing, packing, permutation, quality, simhash, token_orc, toxicity, warc
+from pricelore.llm import licenses, lm_scoring, mixing, packing, permutation, quality, simhash, suffixes, token_orc, toxicity, warc
 from pricelore.llm.common import fresh_path, table
 
 
@@ -81,6 +81,11 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc(token_orc.read_tokens(spark, path))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_permutation": op1_permutation,
     "op2_licenses": op2_licenses,
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_orc": op10_orc,
+    "op13_suffixes": op13_suffixes,
 }
 #: None of these queries' full results can be expressed in SQL within reason; tests hold them against plain versions.
 ORACLES: dict[str, str] = {}
