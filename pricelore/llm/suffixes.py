@@ -216,7 +216,7 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
     Spark samples the splitters and range-partitions the suffixes that begin at the blocks' grams by their leading bytes. In
     its order a task meets the blocks of a gram one after the other, expands them to all their suffixes and sorts those by
     multikey quicksort. Grams that several buckets hold, and those of over HOT blocks, are compared across the boundaries: the
-    hash of each suffix is counted, with partial sums, over all buckets.
+    hashes (128 bits) of their suffixes are counted, with partial sums, over all buckets.
     """
     spark = rows.sparkSession
     count = rows.count()
@@ -233,8 +233,9 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], names=names)
 
-        def held(group: list[tuple]) -> pa.RecordBatch:
-            return batch_of([(g, b, None, data, number) for g, b, data in group])
+        def held(group: list[tuple], known: list[tuple] = ()) -> pa.RecordBatch:
+            hits = {body: found for _, body, found in known}
+            return batch_of([(g, b, hits.get(b), data, number) for g, b, data in group])
 
         ready: list[tuple] = []
         group: list[tuple] = []
@@ -243,9 +244,11 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][0] != row[0]:
                     n_groups += 1
-                    if n_groups == 1 or n_hot:
+                    if n_hot:
                         yield held(group)
-                    if not n_hot:
+                    elif n_groups == 1:
+                        yield held(group, compare(group, least))
+                    else:
                         ready += group
                     group, n_hot = [], 0
                     if len(ready) >= CHUNK:
@@ -257,9 +260,7 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
                     n_hot += len(group) - 1
                     group = group[-1:]
         if group:
-            yield held(group)
-            if not n_hot:
-                ready += group
+            yield held(group, () if n_hot else compare(group, least))
         if ready:
             yield batch_of([(*r, None, None) for r in compare(ready, least)])
 
@@ -271,15 +272,21 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found += [(row[0], row[1], i, xxh3_128_digest(row[2][i : i + least])) for i in range(len(row[2]) - least + 1)]
+            found, seen = [], set()
+            for gram_, body, data, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = {i for x in hits or () for i in range(x["begin"], x["end"])}
+                for i in range(len(data) - least + 1):
+                    suffix = xxh3_128_digest(data[i : i + least])
+                    if i not in known or suffix not in seen:  # what is known to be repeated is named once, for others to meet
+                        found.append((gram_, body, i, suffix, i in known))
+                        seen.add(suffix)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["gram", "body", "i", "suffix"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["gram", "body", "i", "suffix", "known"])
 
-    single = written(held.join(wide, "gram").select("gram", "body", "bytes").mapInArrow(suffixes, "gram long, body long, i long, suffix binary"), "boundary-suffixes")
-    twice = single.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
-    across = single.join(twice, "suffix").select("gram", "body", F.col("i").alias("begin"), (F.col("i") + 1).alias("end"))
+    single = held.join(wide, "gram").select("gram", "body", "bytes", "runs").mapInArrow(suffixes, "gram long, body long, i long, suffix binary, known boolean")
+    single = written(single, "boundary-suffixes")
+    twice = single.groupBy("suffix").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).where("n > 1 or known").select("suffix")
+    across = single.where("not known").join(twice, "suffix").select("gram", "body", F.col("i").alias("begin"), (F.col("i") + 1).alias("end"))
     return first.where("runs is not null").select("gram", "body", F.inline("runs")).unionByName(across)
 
 
