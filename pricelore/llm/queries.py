@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm import licenses, lm_scoring, mixing, packing, permutation, quality, simhash, suffixes, token_orc, toxicity, warc
+from pricelore.llm import alignment, licenses, lm_scoring, mixing, packing, permutation, quality, simhash, suffixes, token_orc, toxicity, warc
 from pricelore.llm.common import fresh_path, table
 
 
@@ -30,6 +30,16 @@ def word_ids(texts: list[str | None]) -> list[bytes]:
     return word_encoder(vocabulary("word_bpe_49k.json"))(texts)
 
 
+def alignment_files() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("piece_bpe_32k.model")
+
+
+def aligned() -> alignment.Aligner:
+    return alignment.aligner(*alignment_files())
+
+
 def op1_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation.search(vectors, vectors.where("vec_id % 50 = 0"))
@@ -81,6 +91,10 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc(token_orc.read_tokens(spark, path))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), aligned)[0]
+
+
 def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -97,6 +111,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_orc": op10_orc,
+    "op12_alignment": op12_alignment,
     "op13_suffixes": op13_suffixes,
 }
 #: None of these queries' full results can be expressed in SQL within reason; tests hold them against plain versions.
