@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelore.llm import alignment, licenses, lm_scoring, mixing, packing, permutation, quality, simhash, suffixes, token_orc, toxicity, warc
+from pricelore.llm import alignment, licenses, lm_scoring, mixing, negatives, packing, permutation, quality, simhash, suffixes, token_orc, toxicity, warc
 from pricelore.llm.common import fresh_path, table
 
 
@@ -91,6 +91,11 @@ def op10_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.with_crc(token_orc.read_tokens(spark, path))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=changed)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), aligned)[0]
 
@@ -111,8 +116,27 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_orc": op10_orc,
+    "op11_negatives": op11_negatives,
     "op12_alignment": op12_alignment,
     "op13_suffixes": op13_suffixes,
 }
-#: None of these queries' full results can be expressed in SQL within reason; tests hold them against plain versions.
-ORACLES: dict[str, str] = {}
+#: The other queries' full results can't be expressed in SQL within reason; tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "op11_negatives": """
+        WITH base AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM base a JOIN base b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS nth
+            FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, CAST(nth AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE nth <= 10
+    """,
+}
