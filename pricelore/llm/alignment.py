@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pricelore.llm.common import written
 
 #: Bytes and texts of a block at most (a longer text is a block of its own), and pieces that a worker remembers.
-BLOCK_BYTES, BLOCK_TEXTS, REMEMBERED = 8 << 20, 8_192, 300_000
+BLOCK_BYTES, BLOCK_TEXTS, REMEMBERED = 8 << 20, 8_192, 500_000
 #: Pairs of one group that are written out one by one; larger groups are counted by id.
 OUTER = 100_000
 #: A blank between letters: tokens of neither side cross it, and each side begins anew there.
@@ -71,16 +71,22 @@ class Aligner:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def align(self, keys: list[str]) -> Pieces:
-        """keys: texts without the blank before them; an empty one has no tokens. Long ones are aligned one at a time."""
-        a_ids = self.a.encode_ordinary_batch([" " + k for k in keys], num_threads=1)
-        b_ids = self.b.encode(keys, num_threads=1)
-        b_bytes = self.b_bytes
-        whole = np.array([b"".join([b_bytes[i] for i in ids]) == b" " + k.encode() for ids, k in zip(b_ids, keys, strict=True)], dtype=bool)
-        a_ids = [ids if good else [] for ids, good in zip(a_ids, whole, strict=True)]
-        b_ids = [ids if good else [] for ids, good in zip(b_ids, whole, strict=True)]
-        n_a, n_b = np.array(list(map(len, a_ids)), dtype=np.int64), np.array(list(map(len, b_ids)), dtype=np.int64)
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        """keys: texts without the blank before them; several only if none is empty or has a blank or white space at its ends.
+
+        They are encoded together, joined by blanks, and by halves where a token isn't its own bytes.
+        """
+        together = " " + " ".join(keys)
+        own = together.encode()
+        a, b = self.a.encode_to_numpy(together).astype(np.int64), np.array(self.b.encode(together[1:]), dtype=np.int64)
+        whole = np.ones(len(keys), dtype=bool)
+        same = b"".join(map(self.b_bytes.__getitem__, b.tolist())) == own
+        if len(keys) > 1 and not same:
+            return Pieces.joined([self.align(keys[: len(keys) // 2]), self.align(keys[len(keys) // 2 :])])
+        if not same:
+            whole[0], a, b = False, a[:0], b[:0]
         a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.append(np.flatnonzero(np.frombuffer(own, dtype=np.uint8) == ord(" "))[1:], len(own)) if len(keys) > 1 else np.array([len(own)])
+        n_a, n_b = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (a_end, b_end))
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
         a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
         in_a, in_b = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
@@ -119,31 +125,38 @@ class Aligner:
     @staticmethod
     def texts(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
         """Each piece's groups as a1,a2|b1;a3|b2,b3."""
+        a_at, b_at = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        groups = np.empty(len(in_a), dtype=object)
+        one = (in_a == 1) & (in_b == 1)
+        code, which = np.unique((a[a_at[one]] << SIDE) | b[b_at[one]], return_inverse=True)
+        groups[one] = np.array([f"{c >> SIDE}|{c & ((1 << SIDE) - 1)}" for c in code.tolist()], dtype=object)[which]
         x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        i = j = 0
-        groups = []
-        for n, m in zip(in_a.tolist(), in_b.tolist(), strict=True):
-            groups.append(x[i] + "|" + y[j] if n == m == 1 else ",".join(x[i : i + n]) + "|" + ",".join(y[j : j + m]))
-            i, j = i + n, j + m
+        for g, i, n, j, m in zip(*(v.tolist() for v in (np.flatnonzero(~one), a_at[~one], in_a[~one], b_at[~one], in_b[~one])), strict=True):
+            groups[g] = ",".join(x[i : i + n]) + "|" + ",".join(y[j : j + m])
+        groups = groups.tolist()
         ends = np.cumsum(n_groups).tolist()
         return [";".join(groups[s:e]).encode() for s, e in zip([0, *ends], ends, strict=False)]
 
-    def learn(self, keys: list[str]) -> None:
-        """Aligns the keys that aren't known; when too many are, all but these are forgotten."""
-        new = sorted(set(keys).difference(self.numbers))
+    def learn(self, keys: list[str], odd: bool) -> None:
+        """Aligns the keys that aren't known; when too many are, all but these are forgotten. odd: some have to be aligned alone."""
+        new = list(set(keys).difference(self.numbers))
         if self.known is not None and len(self.numbers) + len(new) > REMEMBERED:
-            self.numbers, self.known, new = {}, None, sorted(set(keys))
-        if new:
-            parts = [] if self.known is None else [self.known]
-            size, part = 0, []
-            for key in new:
-                part.append(key)
-                size += len(key)
-                if size > 1 << 18:
-                    parts.append(self.align(part))
-                    size, part = 0, []
-            if part:
+            self.numbers, self.known, new = {}, None, list(set(keys))
+        alone = [k for k in new if not k or " " in k or k[0].isspace() or k[-1].isspace()] if odd else []
+        if alone:
+            new = [*alone, *set(new).difference(alone)]
+        parts = [] if self.known is None else [self.known]
+        parts += [self.align([k]) for k in alone]
+        size, part = 0, []
+        for key in new[len(alone) :]:
+            part.append(key)
+            size += len(key)
+            if size > 1 << 18:
                 parts.append(self.align(part))
+                size, part = 0, []
+        if part:
+            parts.append(self.align(part))
+        if new:
             self.known = Pieces.joined(parts)
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
 
@@ -155,7 +168,7 @@ class Aligner:
         if odd:  # white space next to a blank: such texts are cut only where letters stand on both sides
             cut = [parts if odd.isdisjoint(parts) else BETWEEN.split(t) for parts, t in zip(cut, texts, strict=True)]
             keys = list(chain.from_iterable(cut))
-        self.learn(keys)
+        self.learn(keys, bool(odd))
         sizes = np.array(list(map(len, cut)), dtype=np.int64)
         n = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
         text = np.repeat(np.arange(len(texts)), sizes)
