@@ -82,7 +82,7 @@ def trimmed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
-def price_in_text(text: Column, least: int = 100, largest: int = 2_000_000) -> Column:
+def price_in_text(text: Column, least: Column | int = 100, largest: Column | int = 2_000_000) -> Column:
     """The price of the first segment; null where that segment speaks of instalments, offers or delivery, or outside the bounds."""
     plain = low(text)
     for old, new in ENTITIES:
@@ -95,6 +95,17 @@ def price_in_text(text: Column, least: int = 100, largest: int = 2_000_000) -> C
     return F.when(~first.rlike(PRICE_NOISE) & value.between(least, largest), value)
 
 
+def bounds(category: Column) -> tuple[Column, Column]:
+    """Least and largest price of a category; a null one counts as laptops."""
+    out = []
+    for i in (0, 1):
+        rule = F.when(category.isNull(), PRICE_BOUNDS["laptop"][i])
+        for name, pair in PRICE_BOUNDS.items():
+            rule = rule.when(category == name, pair[i])
+        out.append(rule.otherwise(OTHER_BOUNDS[i]))
+    return out[0], out[1]
+
+
 def in_bounds(price: Column, category: Column) -> Column:
     """Whether a price is one of its category."""
     rule = F.when(F.lit(False), F.lit(False))

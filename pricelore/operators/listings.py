@@ -14,7 +14,7 @@ from pricelore.operators import browse, matching
 
 MATCH, REVIEW = 82.0, 70.0
 #: Texts are compared letter by letter up to this length, which bounds one pair's work.
-COMPARED = 400
+COMPARED = 2_048
 # Thresholds of a platform's coverage of a category, orders of enrichment.
 USABLE, PRICED, CONFIDENT, REPEATED = 3, 0.50, 0.40, 0.35
 ENRICHED = ("amazon", "flipkart", "croma", "reliancedigital", "vijaysales", "poorvika")
@@ -95,7 +95,7 @@ def similarities(pairs: DataFrame) -> DataFrame:
     both = F.size(F.array_union(words(a("title")), words(b("title"))))
     jaccard = F.when(both > 0, F.size(F.array_intersect(words(a("title")), words(b("title")))) / both).otherwise(0.0)
     out = pairs.withColumns({"jaccard": jaccard, "sequence": sequence_ratio(plain(a("title")), plain(b("title")))})
-    series = lambda c: F.regexp_extract(c, "^([^:]*(?::[^:]*)?)", 1)
+    series = lambda c: F.regexp_extract(c, "^([^:]*(?::[^:]*)?(?::[^:]*)?)", 1)
     model = F.arrays_overlap(a("model_codes"), b("model_codes"))
     cpu = same(a("cpu"), b("cpu"))
     signals = [same(a("family"), b("family")), model, cpu, near("ram_gb", 0), near("storage_gb", 8), near("screen_inch", 0.3)]
@@ -124,21 +124,17 @@ def assessments(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"merge_allowed": F.col("verdict") == "exact", "needs_review": (F.col("verdict") == "related") & (F.col("points") >= REVIEW)})
 
 
-def safe_merges(pairs: DataFrame) -> DataFrame:
-    """title_id, target, points: for each second of assessed pairs that may merge unseen, the first with the most points, then the smallest id.
+def safe_pairs(pairs: DataFrame) -> DataFrame:
+    """The assessed pairs that may merge unseen.
 
     Safe are exact identities, and pairs of 92 points or more of one category and brand, not weak, with an equal
-    variant_key, a shared code and another signal, or many signals and like titles. Targets have smaller ids, so that
-    no chain of them loops. One hash aggregation.
+    variant_key, a shared code and another signal, or many signals and like titles.
     """
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     kin = (a("category") == b("category")) & (F.coalesce(a("brand"), F.lit("")) == F.coalesce(b("brand"), F.lit("")))
     many = ((F.col("n_signals") >= 5) & (F.col("jaccard") >= 0.38)) | ((F.col("points") >= 98) & (F.col("n_signals") >= 4) & (F.col("sequence") >= 0.55))
     strong = F.coalesce(a("variant_key") == b("variant_key"), F.lit(False)) | (F.col("shares_code") & (F.col("n_signals") >= 2)) | many
-    safe = pairs.where((F.col("verdict") != "conflict") & (F.col("points") >= 92) & ((F.col("relation") == "exact") | (~F.col("weak") & kin & strong)))
-    best = F.struct("points", (-a("title_id")).alias("id"))
-    by = safe.groupBy(b("title_id").alias("title_id")).agg(F.max(best).alias("best"))
-    return by.select("title_id", (-F.col("best.id")).alias("target"), "best.points")
+    return pairs.where((F.col("verdict") != "conflict") & (F.col("points") >= 92) & ((F.col("relation") == "exact") | (~F.col("weak") & kin & strong)))
 
 
 def suggestions(text_: str, ranked: DataFrame, categories: DataFrame, limit: int = 6, most_categories: int = 4) -> DataFrame:
@@ -203,31 +199,6 @@ def listing_roles(listings: DataFrame) -> DataFrame:
     return rows.join(groups, ["product_id", "platform"]).withColumn("role", F.when(F.col("listing_id") == F.col("primary_id"), "primary").otherwise("alias"))
 
 
-#: Levels of nesting (lists of lists, graphs, item lists) that are looked into.
-LEVELS = 4
-NODE = "array<struct<`@type`:string,`@graph`:array<string>,itemListElement:array<string>,item:string,name:string,sku:string,brand:string,offers:string>>"
-SCRIPT = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-
-
-def jsonld_products(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each product in the JSON-LD scripts of pages: pages' columns, with name, sku, brand, price and currency.
-
-    Looks into lists, graphs and item lists. Scripts that don't parse, and null pages, give nothing.
-    """
-    rows = pages.withColumn("block", F.explode(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1)))).drop(html)
-    texts, nodes = F.array("block"), []
-    for _ in range(LEVELS):
-        parsed = F.flatten(F.transform(texts, lambda t: F.coalesce(F.from_json(t, NODE), F.from_json(F.lit("[]"), NODE))))
-        nodes.append(parsed)
-        empty = F.array().cast("array<string>")
-        texts = F.flatten(F.transform(parsed, lambda x: F.concat(F.coalesce(x["@graph"], empty), F.coalesce(x["itemListElement"], empty), F.when(x["item"].isNotNull(), F.array(x["item"])).otherwise(empty))))
-    node = F.filter(F.concat(*nodes), lambda x: F.lower(x["@type"]).rlike(r'(^|")product("|$)'))
-    rows = rows.withColumn("x", F.explode(node)).drop("block")
-    offer = lambda c: F.coalesce(F.get_json_object("x.offers", f"$.{c}"), F.get_json_object("x.offers", f"$[0].{c}"))
-    brand = F.coalesce(F.get_json_object("x.brand", "$.name"), "x.brand")
-    return rows.withColumns({"name": F.col("x.name"), "sku": F.col("x.sku"), "brand": brand, "price": offers.price_in_text(offer("price")), "currency": offer("priceCurrency")}).drop("x")
-
-
 def code_relations(found: DataFrame) -> DataFrame:
     """Pairs of identities that share a code, with conflicts, relation and similarities."""
     return assessments(similarities(matching.relations(matching.conflicts(matching.code_pairs(found)))))

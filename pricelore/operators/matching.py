@@ -97,6 +97,7 @@ def code_pairs(found: DataFrame) -> DataFrame:
     Titles of one identity are one row before they meet, so that copies of a title don't meet each other.
     """
     one = found.groupBy("exact_fingerprint").agg(F.min_by(F.struct(*(c for c in found.columns)), "title_id").alias("x"))
-    coded = one.select("x", F.explode("x.model_codes").alias("code"))
-    a, b = coded.select(F.col("x").alias("a"), "code"), coded.select(F.col("x").alias("b"), "code")
-    return a.join(b, "code").where("a.title_id < b.title_id").drop("code").dropDuplicates(["a", "b"])
+    coded = one.select(F.col("x.title_id").alias("i"), F.explode("x.model_codes").alias("code"))
+    ids = coded.join(coded.withColumnRenamed("i", "j"), "code").where("i < j").select("i", "j").distinct()  # ids only, until each pair is there once
+    a, b = (one.select(F.col("x.title_id").alias(k), F.col("x").alias(side)) for k, side in (("i", "a"), ("j", "b")))
+    return ids.join(a, "i").join(b, "j").select("a", "b")

@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pricelore.functions import offers as fn
 from pricelore.functions import specs
 from pricelore.operators import listings as op
-from pricelore.operators import matching
+from pricelore.operators import matching, merging
 from pricelore.plans.base import Registry
 from pricelore.plans.catalog import SEARCH
 from pricelore.plans.catalog import found as ranked_search
@@ -17,7 +17,7 @@ from pricelore.plans.matching import IDENTITIES_SQL, PAIRS_SQL, TITLES_SQL, titl
 from pricelore.plans.text import ladder
 from pricelore.sources import records
 from pricelore.sources.views import AS_OF, CATEGORIES, PLATFORMS, Domain, nth, sql_nth
-from pricelore.streaming.activity import scratch
+from pricelore.streaming.activity import kept, scratch
 
 registry = Registry()
 query = registry.query
@@ -254,9 +254,9 @@ def c37_assessments(d: Domain):
 
 @query()
 def c40_safe_merges(d: Domain):
-    """Every duplicate that may merge unseen, among identities that share a code. No SQL, as for c36."""
+    """Duplicates that may merge unseen, among identities that share a code, in greedy order. No SQL, as for c36."""
     found = matching.identities(titles(d)).withColumn("variant_key", op.variant_key(F.col("title")))
-    return op.safe_merges(op.code_relations(found))
+    return merging.greedy(merging.primary_first(op.safe_pairs(op.code_relations(found))), kept)
 
 
 WORDS = ["laptop notebook macbook", "smartphone mobile phone iphone", "television tv smart tv", "refrigerator fridge", "washing_machine washing machine washer", "tws earbuds buds", "headphones headset", "camera dslr mirrorless"]
@@ -333,14 +333,3 @@ def s5_raw_records(d: Domain):
     records.write_raw(d.products.select("product_id", "title", "size"), path)
     schema = StructType([StructField("product_id", LongType()), StructField("title", StringType()), StructField("size", LongType()), StructField("schema_version", LongType())])
     return records.read_records(d.spark, path, schema, multi_line=False)
-
-
-@query("""SELECT product_id, title AS name, CASE WHEN size BETWEEN 1 AND 50 THEN size * 1000 END AS price, CASE WHEN product_id % 3 = 2 THEN brand END AS brand FROM products WHERE product_id % 4 <> 3""")
-def s7_jsonld_products(d: Domain):
-    """Each product's page: a script with the product, one with a graph, one with an item list; each fourth is broken."""
-    named = F.when(F.col("product_id") % 3 == 2, F.struct("brand"))
-    node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), F.struct((F.col("size") * 1000).cast("string").alias("price"), F.lit("INR").alias("priceCurrency")).alias("offers"), named["brand"].alias("brand")))
-    graph, items = F.concat(F.lit('{"@graph": ['), node, F.lit("]}")), F.concat(F.lit('[{"@type": "ItemList", "itemListElement": [{"@type": "ListItem", "item": '), node, F.lit("}]}]"))
-    script = F.when(F.col("product_id") % 4 == 0, node).when(F.col("product_id") % 4 == 1, graph).when(F.col("product_id") % 4 == 2, items).otherwise(F.concat(F.lit("{"), node))
-    pages = d.products.select("product_id", F.concat(F.lit('<html><script type="application/ld+json">\n'), script, F.lit("</script></html>")).alias("html"))
-    return op.jsonld_products(pages).select("product_id", "name", "price", "brand")

@@ -87,7 +87,7 @@ def f29_price_intent(d: Domain):
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
 CAST((length(html) - length(replace(html, '<a href="', ''))) // 9 AS BIGINT) AS n_links, CAST(length(html) AS BIGINT) AS n_chars FROM pages""")
-def s9_page_fields(d: Domain):
+def s9_page_titles(d: Domain):
     html = F.col("html")
     links = F.floor((F.length(html) - F.length(F.replace(html, F.lit('<a href="'), F.lit("")))) / 9)
     return d.table("pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"), links.alias("n_links"), F.length(html).cast("long").alias("n_chars"))

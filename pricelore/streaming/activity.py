@@ -126,3 +126,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='pricelore-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df as a table in a new folder of scratch(): cuts the lineage, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

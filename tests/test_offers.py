@@ -1,7 +1,6 @@
 """Offers' texts, merges, scores and JSON, by literal cases and plain versions."""
 
 import difflib
-import json
 import re
 
 import pytest
@@ -10,8 +9,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pricelore.functions import offers as fn
 from pricelore.operators import listings as op
-from pricelore.operators import matching
+from pricelore.operators import matching, merging
 from pricelore.sources import records
+from pricelore.streaming.activity import kept
 
 
 def values(spark, column, given):
@@ -75,7 +75,7 @@ def plain_score(a, b):
     near = lambda c, d: None not in (a[c], b[c]) and abs(a[c] - b[c]) <= d
     model = bool(set(a["model_codes"]) & set(b["model_codes"]))
     hits = [eq("family"), model, eq("cpu"), near("ram_gb", 0), near("storage_gb", 8), near("screen_inch", 0.3)]
-    series = lambda r: r["cpu"] and ":".join(r["cpu"].split(":")[:2])
+    series = lambda r: r["cpu"] and ":".join(r["cpu"].split(":")[:3])
     score = 12 * eq("brand") + sum(w for h, w in zip(hits, (32, 58, 32, 14, 12, 8)) if h) + 8 * eq("gpu") + 22 * jaccard + 12 * sequence
     score += 15 * (not hits[2] and series(a) is not None and series(a) == series(b))
     if not model and sum(hits) < 3:
@@ -125,15 +125,6 @@ def test_heads_and_roots(spark):
     assert sorted(tuple(r) for r in op.dates_to_rebuild(moved).collect()) == [(1, "d"), (1, "e"), (2, "d"), (2, "e")]
 
 
-def test_jsonld_of_nested_and_broken_scripts(spark):
-    script = '<script type="application/ld+json">{}</script>'.format
-    product = {"@type": ["Thing", "Product"], "name": "a", "offers": [{"price": "12,999.00", "priceCurrency": "INR"}], "brand": {"name": "b"}}
-    nest = [{"@graph": [{"@type": "ItemList", "itemListElement": [{"item": product}]}]}]
-    pages = [(1, script(json.dumps(nest)) + script("{broken") + script('{"@type": "ProductGroup"}')), (2, None), (3, ""), (4, script(json.dumps([{"@type": "product", "name": "x", "price": 1}])))]
-    got = op.jsonld_products(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id").collect()
-    assert [tuple(r) for r in got] == [(1, "a", None, "b", 12999, "INR"), (4, "x", None, None, None, None)]
-
-
 def test_records_of_lists_and_of_objects(spark, tmp_path):
     schema = StructType([StructField("a", LongType()), StructField("b", StringType())])
     (tmp_path / "list.json").write_text('[{"a": 1, "b": "x"},\n {"a": 2}]')
@@ -142,13 +133,48 @@ def test_records_of_lists_and_of_objects(spark, tmp_path):
     assert sorted(records.read_records(spark, str(tmp_path), schema).collect()) == [(1, "x"), (2, None), (3, "y")]
 
 
-def test_safe_merges_point_to_smaller_ids(spark):
+def test_safe_merges_use_each_title_once(spark):
     base = "HP Pavilion 15 FX1234TU Core i5-12450H 8GB RAM 512GB SSD"
     titles = [base, base + " Windows 11", base.replace("8GB", "16GB"), "HP Pavilion 15 FX1234TU", "HP 15s 512GB SSD"]
     rows = found(spark, titles).withColumn("variant_key", op.variant_key(F.col("title")))
     joined = rows.select(F.struct("*").alias("a")).crossJoin(rows.select(F.struct("*").alias("b"))).where("a.title_id < b.title_id")
-    got = op.safe_merges(op.assessments(op.similarities(matching.relations(matching.conflicts(joined))))).collect()
-    assert sorted((r.title_id, r.target) for r in got) == [(1, 0), (3, 0)]
+    safe = op.safe_pairs(op.assessments(op.similarities(matching.relations(matching.conflicts(joined)))))
+    pairs = sorted(tuple(r)[:2] for r in merging.primary_first(safe).collect())
+    assert pairs == [(0, 1), (0, 3), (1, 3), (2, 3)]
+    used = [i for r in merging.greedy(merging.primary_first(safe), kept).collect() for i in (r.primary, r.duplicate)]
+    assert len(used) == len(set(used)) >= 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_merges_equal_a_sequential_pass(spark, seed):
+    import hashlib
+    import random
+
+    rng = random.Random(seed)
+    n = rng.choice((6, 40, 200))
+    pairs = [(rng.randrange(n), rng.randrange(n), rng.choice((92.0, 93.5, 100.0) if seed % 2 else (92.0,))) for _ in range(3 * n)]
+    pairs += [(i, i + 1, 95.0) for i in range(n)] + pairs[:5] + [(None, 1, 99.0), (1, 2, None)]
+    got = {tuple(r) for r in merging.greedy(spark.createDataFrame(pairs, "primary long, duplicate long, points double"), kept).collect()}
+    best = {}
+    for u, v, points in pairs:
+        if None not in (u, v, points) and u != v:
+            best[u, v] = max(best.get((u, v), 0), points)
+    used, wanted = set(), set()
+    for (u, v), points in sorted(best.items(), key=lambda x: (-x[1], hashlib.md5(f"{x[0][0]}-{x[0][1]}".encode()).hexdigest(), x[0])):
+        if u not in used and v not in used:
+            used |= {u, v}
+            wanted.add((u, v, points))
+    assert got == wanted
+
+
+def test_greedy_merges_of_nothing(spark):
+    assert merging.greedy(spark.createDataFrame([], "primary long, duplicate long, points double"), kept).collect() == []
+
+
+def test_a_longer_title_is_primary(spark):
+    rows = [((1, "x"), (2, "x" * 32), 95.0), ((4, "x" * 50), (3, None), 95.0), ((5, "y"), (6, "y" * 31), 95.0)]
+    df = spark.createDataFrame(rows, "a struct<title_id:long,title:string>, b struct<title_id:long,title:string>, points double")
+    assert sorted(tuple(r)[:2] for r in merging.primary_first(df).collect()) == [(2, 1), (4, 3), (5, 6)]
 
 
 def test_short_queries_suggest_categories_only(spark):
