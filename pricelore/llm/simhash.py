@@ -154,12 +154,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near duplicates of a smaller doc_id: one document of each component stays, with all its columns.
+    """One row of docs for each component of near duplicates, with all its columns: that with the smallest doc_id.
 
-    Each row is judged by its own text, also where rows of other texts have its id. Rows that repeat the smallest id of a
-    component stay all; rows with a null id stay.
+    Each row is judged by its own text, also where rows of other texts have its id. Of rows that repeat the smallest id one
+    stays: the first by hashes of all columns, which tell rows apart; of equal rows one. Null ids come after all others; where
+    a component has no id at all, one row of each of its fingerprints stays. Columns of any name come along untouched. No
+    rows give no rows.
     """
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    found = near_duplicates(rows, keep=("_text_hash",))
-    gone = found.where("doc_id <> component_id").select("doc_id", "_text_hash").distinct()
-    return rows.join(gone, ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"))
+    parts = [F.to_json(F.struct(F.col(f"row.`{c}`"))) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes]
+    parts += [F.col(f"row.`{c}`").isNull() for c in docs.columns]
+    rows = rows.withColumns({"d1": F.xxhash64(*parts), "d2": F.xxhash64(F.lit(1), *parts)})
+    found = near_duplicates(rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "d1", "d2"), keep=("d1", "d2"))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("lost "), "fingerprint"))
+    place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d1", "d2")
+    first = found.groupBy(group.alias("group")).agg(F.min(place).alias("place")).select("place.d1", "place.d2")
+    return rows.join(first, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("row.*")
