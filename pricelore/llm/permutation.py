@@ -32,6 +32,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def cosines(vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The cosines of the rows of vectors with one vector: each a sum in the order of the components, whatever rows stand beside it."""
+    # by powers of two, which rounds nothing and keeps squares in range
+    vectors, own = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None]), np.ldexp(own, -np.frexp(np.abs(own).max())[1])
+    product, square, norm = np.zeros(len(vectors)), np.zeros(len(vectors)), 0.0
+    for i in range(vectors.shape[1]):
+        product += vectors[:, i] * own[i]
+        square += vectors[:, i] * vectors[:, i]
+        norm += own[i] * own[i]
+    return product / np.sqrt(square * norm)
+
+
 def permutations(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """Each vector's nearest pivots, nearest first, ties to the smaller number."""
     return np.argsort(-(unit(vectors) @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int16)
@@ -64,7 +76,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     vector count once. The sample of pivots is bounded; every vector is indexed: it is posted under its nearest pivots in
     the inverted files of its shard. Queries meet the shards in blocks. In each shard a query's vectors are ranked by
     footrule distance and the nearest share is reranked by cosine in double precision; the shards' nearest are merged.
-    Equal scores go to the smaller vec_id. No queries or no vectors give no rows.
+    Scores are worked out pair by pair from the original vectors, always in the same order, so that equal vectors have equal
+    scores in whatever shard they are; equal scores go to the smaller vec_id. No queries or no vectors give no rows.
     """
     base, asked = written(valid(df, vec_id, vector).distinct(), "vectors"), written(valid(queries, vec_id, vector).distinct(), "queries")
     by_size = base.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -96,14 +109,18 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
         found: list[tuple] = []
         if len(q) and len(x):
             x = x.sort_values("vec_id", kind="stable")
-            ids, vectors = x["vec_id"].to_numpy(), unit(np.stack(x["vector"].to_list()))
+            ids, vectors = x["vec_id"].to_numpy(), np.stack(x["vector"].to_list())
+            units, asked = unit(vectors), np.stack(q["vector"].to_list())
             order = np.stack(x["pivots"].to_list())
             many = min(len(ids), max(LEAST, int(np.ceil(candidates * len(ids)))))
-            wanted = zip(q["vec_id"].tolist(), unit(np.stack(q["vector"].to_list())), footrule(np.stack(q["pivots"].to_list()), order, n_pivots), strict=True)
-            for query_id, own, far in wanted:
+            wanted = zip(q["vec_id"].tolist(), asked, unit(asked), footrule(np.stack(q["pivots"].to_list()), order, n_pivots), strict=True)
+            for query_id, own, unit_own, far in wanted:
                 near = np.flatnonzero(far <= np.partition(far, many - 1)[many - 1])  # all at the same distance as the last
                 near = near[ids[near] != query_id]
-                score = vectors[near] @ own
+                rough = units[near] @ unit_own
+                if len(near) > k:  # what can be among the first k once rounding is put right
+                    near = near[rough >= np.partition(rough, -k)[-k] - 1e-9]
+                score = cosines(vectors[near], own)
                 best = np.lexsort((ids[near], -score))[:k]
                 found += zip([query_id] * len(best), ids[near][best].tolist(), score[best].tolist(), strict=True)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

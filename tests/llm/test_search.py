@@ -32,6 +32,30 @@ def test_search_finds_the_nearest(spark):
     assert [r.vec_id for r in by[100]] == [99, 101, 102, 103, 104]
 
 
+def test_ties_across_shards_go_to_smaller_ids(spark):
+    """Twenty groups of sixty equal vectors lie in all shards: each member's nearest are the smallest other ids of its group."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    groups = [rng.choice(3000, 60, replace=False) for _ in range(20)]
+    groups = [g[~np.isin(g, np.concatenate(groups[:i]))] if i else g for i, g in enumerate(groups)]
+    of = {}
+    for g in groups:
+        x[g] = x[g[0]]
+        of |= {int(i): sorted(map(int, g)) for i in g}
+    x[2999] = 4 * x[groups[0][0]]  # a multiple has the same cosine
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    by = {}
+    for r in permutation.search(frame, frame.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect():
+        by.setdefault(r.query_id, []).append(r)
+    seen = 0
+    for q, found in by.items():
+        if q in of and 2999 not in of[q]:
+            seen += 1
+            assert [r.vec_id for r in found] == [i for i in of[q] if i != q][:5]
+            assert len({r.score for r in found}) == 1 and found[0].score == pytest.approx(1.0, abs=1e-15)
+    assert seen > 50
+
+
 def test_search_prunes_and_still_finds_the_nearest(spark):
     n = 20_000  # 64 shards of about 312: more than LEAST / CANDIDATES, so that the rest of a shard isn't reranked
     assert n / 64 > 1.5 * permutation.LEAST / permutation.CANDIDATES
