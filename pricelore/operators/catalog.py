@@ -139,6 +139,12 @@ def similar_titles(texts: DataFrame, least: float = 0.3) -> DataFrame:
     return found.where(F.col("similarity") >= least).select("left", "right", F.round("similarity", 6).alias("similarity"))
 
 
+def first_of(rows: DataFrame, block: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each block; tasks keep as many of a block before anything is shuffled."""
+    rn = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
+    return rows.withColumn("rn", rn).where(F.col("rn") <= most).drop("rn")
+
+
 def candidate_pools(pools: dict[str, DataFrame], most: int) -> DataFrame:
     """Union of candidates from several sources (listing_id, product_id, similarity), each named, in the order given.
 

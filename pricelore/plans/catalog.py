@@ -128,11 +128,19 @@ merged AS (SELECT listing_id, product_id, CAST(max(similarity) AS DOUBLE) AS sim
 placed AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY "rank", similarity DESC, product_id) AS position FROM merged)"""
 
 
+#: Candidates of a listing.
+KEPT = 13
+
+
 def pools(d: Domain):
     asked = d.listings.join(d.products.select("product_id", "brand"), "product_id")
     same = asked.select("listing_id", "product_id", F.lit(1.0).alias("similarity"))
-    brand = asked.select("listing_id", "category", "brand").join(d.products.select("product_id", "category", "brand"), ["category", "brand"]).select("listing_id", "product_id", F.lit(0.5).alias("similarity"))
-    return op.candidate_pools({"same": same, "brand": brand}, 13)
+    # whatever the listing, the first products of its category and brand are its candidates, besides its own
+    block = ["category", "brand"]
+    first = op.first_of(d.products.select("product_id", *block), block, [F.asc("product_id")], KEPT)
+    near = asked.select("listing_id", *block).join(first, block).select("listing_id", "product_id")
+    brand = near.unionByName(asked.where("brand is not null").select("listing_id", "product_id")).withColumn("similarity", F.lit(0.5))
+    return op.candidate_pools({"same": same, "brand": brand}, KEPT)
 
 
 @query(f", {POOLS} SELECT * FROM placed WHERE position <= 13")
