@@ -18,6 +18,8 @@ LEAST, GRAM = 200, 64
 SLICE, BUCKET, CHUNK, HOT = 1 << 18, 65_536, 4_096, 8_192
 #: Bits of the second key of a text, and of a block's number of suffixes.
 KEY_BITS, SIZE_BITS = 20, 8
+#: Steps in which the bytes before a gram are compared across buckets.
+STEP = 16
 RUNS = "array<struct<begin:long,end:long>>"
 
 
@@ -190,21 +192,29 @@ def repeated(data: bytes, at: np.ndarray, least: int) -> np.ndarray:
     return found
 
 
+def shared(a: bytes, b: bytes) -> int:
+    """The length of the common beginning of two strings."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
 def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     """The runs of True as (begin, end)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def compare(rows: list[tuple[int, int, bytes]], least: int) -> list[tuple[int, int, list[dict]]]:
-    """gram, body, runs of the suffixes of each block whose first `least` bytes stand at another place of these blocks."""
+def compare(rows: list[tuple], least: int) -> list[tuple[int, int, list[dict]]]:
+    """gram, body, runs of the suffixes of each block (gram, body, bytes, ...) whose first `least` bytes stand at another place of these blocks."""
     sizes = np.array([len(r[2]) for r in rows])
     n = sizes - least + 1
     block = np.repeat(np.arange(len(rows)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     hit = repeated(b"".join(r[2] for r in rows), (np.cumsum(sizes) - sizes)[block] + inside, least)
     out = []
-    for (gram, body, _), mine in zip(rows, np.split(hit, np.cumsum(n)[:-1]), strict=True):
+    for (gram, body, *_), mine in zip(rows, np.split(hit, np.cumsum(n)[:-1]), strict=True):
         if mine.any():
             out.append((gram, body, [{"begin": a, "end": b} for a, b in runs(mine)]))
     return out
@@ -215,17 +225,18 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
 
     Spark samples the splitters and range-partitions the suffixes that begin at the blocks' grams by their leading bytes. In
     its order a task meets the blocks of a gram one after the other, expands them to all their suffixes and sorts those by
-    multikey quicksort. Grams that several buckets hold, and those of over HOT blocks, are compared across the boundaries: the
-    hashes (128 bits) of their suffixes are counted, with partial sums, over all buckets.
+    multikey quicksort. Grams that several buckets hold, and those of over HOT blocks, are compared across the boundaries: of
+    their suffixes those that another block can share, by what neighbours in the order share behind the gram and by equal
+    beginnings before it, are counted by hashes of 128 bits, with partial sums, over all buckets.
     """
     spark = rows.sparkSession
     count = rows.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // BUCKET))
     suffix = F.expr("substring(bytes, at + 1)")
-    ranged = rows.withColumn("suffix", suffix).repartitionByRange(buckets, "suffix").sortWithinPartitions("suffix", "body").select("gram", "body", "bytes")
-    names = ["gram", "body", "runs", "bytes", "bucket"]
-    schema = f"gram long, body long, runs {RUNS}, bytes binary, bucket int"
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int32()]
+    ranged = rows.withColumn("suffix", suffix).repartitionByRange(buckets, "suffix").sortWithinPartitions("suffix", "body").select("gram", "body", "bytes", "at")
+    names = ["gram", "body", "runs", "bytes", "at", "last", "bucket", "hot"]
+    schema = f"gram long, body long, runs {RUNS}, bytes binary, at int, last int, bucket int, hot boolean"
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
@@ -233,49 +244,63 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)], names=names)
 
-        def held(group: list[tuple], known: list[tuple] = ()) -> pa.RecordBatch:
-            hits = {body: found for _, body, found in known}
-            return batch_of([(g, b, hits.get(b), data, number) for g, b, data in group])
+        def held(group: list[tuple], first: bool, final: bool, known: list[tuple] | None) -> pa.RecordBatch:
+            """Rows for other buckets to meet, up to the last suffix of each that another block can share.
+
+            Behind its gram a block shares most with its neighbours in the order; where a neighbour isn't at hand, it may share all.
+            """
+            hits = {body: found for _, body, found in known or ()}
+            tails = [data[at:] for _, _, data, at in group]
+            between = [len(tails[0]) if first else 0, *(shared(x, y) for x, y in zip(tails, tails[1:], strict=False)), len(tails[-1]) if final else 0]
+            rows = [(g, b, hits.get(b), data, at, at + max(between[i : i + 2]) - least, number, known is None) for i, (g, b, data, at) in enumerate(group)]
+            return batch_of([r for r in rows if r[5] >= 0])
 
         ready: list[tuple] = []
         group: list[tuple] = []
-        n_groups = n_hot = 0
+        n_groups, cut = 0, False  # cut: the group goes on from rows that have left
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][0] != row[0]:
                     n_groups += 1
-                    if n_hot:
-                        yield held(group)
+                    if cut:
+                        yield held(group, True, False, None)
                     elif n_groups == 1:
-                        yield held(group, compare(group, least))
+                        yield held(group, True, False, compare(group, least))
                     else:
                         ready += group
-                    group, n_hot = [], 0
+                    group, cut = [], False
                     if len(ready) >= CHUNK:
-                        yield batch_of([(*r, None, None) for r in compare(ready, least)])
+                        yield batch_of([(*r, *[None] * 5) for r in compare(ready, least)])
                         ready = []
                 group.append(row)
                 if len(group) > HOT:  # goes on without being gathered
-                    yield held(group[:-1])
-                    n_hot += len(group) - 1
-                    group = group[-1:]
+                    yield held(group[:-1], cut or not n_groups, True, None)
+                    group, cut = group[-1:], True
         if group:
-            yield held(group, () if n_hot else compare(group, least))
+            yield held(group, cut or not n_groups, True, None if cut else compare(group, least))
         if ready:
-            yield batch_of([(*r, None, None) for r in compare(ready, least)])
+            yield batch_of([(*r, *[None] * 5) for r in compare(ready, least)])
 
     first = written(ranged.mapInArrow(run, schema), "suffix-buckets")
     held = first.where("bytes is not null")
-    wide = held.groupBy("gram").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.count("*").alias("n")).where((F.col("a") < F.col("b")) | (F.col("n") > HOT)).select("gram")
+    wide = held.groupBy("gram").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.bool_or("hot").alias("hot")).where((F.col("a") < F.col("b")) | F.col("hot")).select("gram")
+
+    met = held.join(wide, "gram")
+    # before its gram a block shares with some other one less than STEP bytes beyond the longest of these beginnings that two have
+    before = met.select("gram", "body", F.expr(f"explode(sequence(0, at, {STEP}))").alias("left"), "bytes", "at")
+    before = before.select("gram", "body", "left", F.xxhash64(F.expr("substring(bytes, at - left + 1, left)")).alias("hash"))
+    common = before.groupBy("gram", "left", "hash").agg(F.count("*").alias("n")).where("n > 1").select("gram", "left", "hash")
+    most = before.join(common, ["gram", "left", "hash"]).groupBy("gram", "body").agg((F.max("left") + STEP - 1).alias("left"))
+    met = met.join(most, ["gram", "body"]).select("gram", "body", "bytes", "runs", F.greatest(F.lit(0), F.col("at") - F.col("left")).alias("first"), "last")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             found, seen = [], set()
-            for gram_, body, data, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram_, body, data, hits, begin, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = {i for x in hits or () for i in range(x["begin"], x["end"])}
-                for i in range(len(data) - least + 1):
+                for i in range(begin, min(last, len(data) - least) + 1):
                     suffix = xxh3_128_digest(data[i : i + least])
                     if i not in known or suffix not in seen:  # what is known to be repeated is named once, for others to meet
                         found.append((gram_, body, i, suffix, i in known))
@@ -283,7 +308,7 @@ def sorted_blocks(rows: DataFrame, least: int, gram: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["gram", "body", "i", "suffix", "known"])
 
-    single = held.join(wide, "gram").select("gram", "body", "bytes", "runs").mapInArrow(suffixes, "gram long, body long, i long, suffix binary, known boolean")
+    single = met.mapInArrow(suffixes, "gram long, body long, i long, suffix binary, known boolean")
     single = written(single, "boundary-suffixes")
     twice = single.groupBy("suffix").agg(F.count("*").alias("n"), F.bool_or("known").alias("known")).where("n > 1 or known").select("suffix")
     across = single.where("not known").join(twice, "suffix").select("gram", "body", F.col("i").alias("begin"), (F.col("i") + 1).alias("end"))
