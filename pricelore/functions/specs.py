@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricelore.functions.text import ACCENTS, PLAIN
+from pricelore.functions.text import foldings
 
+#: Latin letters with accents.
+ACCENTS, PLAIN = foldings(0x180)
 # Brands in order of precedence, and product lines that tell a brand.
 BRANDS = (
     "hp", "dell", "lenovo", "asus", "acer", "apple", "samsung", "msi", "lg", "microsoft", "toshiba", "razer", "gigabyte", "huawei", "honor",
@@ -166,7 +168,8 @@ def sql_list(values) -> str:
 
 def sql_columns(title: str) -> str:
     """The columns brand, ram_gb, storage_gb, screen_inch, generation, gpu, cpu, model_codes, raw_codes and family as DuckDB SQL."""
-    low = f"translate(lower({title}), '{ACCENTS}', '{PLAIN}')"
+    quoted = [x.replace("'", "''") for x in (ACCENTS, PLAIN)]
+    low = f"translate(lower({title}), '{quoted[0]}', '{quoted[1]}')"
     tokens = f"regexp_split_to_array({low}, '[^a-z0-9_]+')"
     tokens = f"list_concat(list_concat({tokens}, CASE WHEN regexp_matches({low}, '\\bhewlett packard\\b') THEN ['hewlett packard'] ELSE [] END), CASE WHEN regexp_matches({low}, '\\bblue star\\b') THEN ['blue star'] ELSE [] END)"
     first = lambda values: f"list_filter({sql_list(values)}, lambda v: list_contains({tokens}, v))[1]"

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accents that are folded, words that a title doesn't need, and parameters that only track.
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-NOISE = r"\b(buy|online|best price|price in india|new|latest|with|offer|deal)\b"
-TRACKING = ("ref", "tag", "fbclid", "gclid", "pid_src", "affid", "source")
+# Words that a title doesn't need, and parameters that only track.
+NOISE = (
+    r"\b(laptop|notebook|computer|pc|anti[\s-]?glare|backlit|thin|light|ultra[\s-]?slim|gaming|portable|slim|premium|business|standard|smartchoice|"
+    r"silver|black|grey|gray|blue|gold|natural|starry|midnight|moonlight|graphite|titanium|platinum|arctic|cool|mixed|mica|glacier|previously|powered\s+by|"
+    r"windows\s*[0-9]*|home|office|microsoft|ms\b|with|for|and|the|best|new|latest|full\s*hd|fhd|wuxga|oled|ips|display|screen|inch|cm|kg)\b"
+)
+TRACKING = (
+    "gclid", "fbclid", "ref", "tag", "src", "source", "spm", "srsltid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id",
+    "qid", "psc", "pd_rd_w", "pd_rd_r", "pd_rd_wg", "internal_source", "otracker", "fm", "iid", "ppt", "ppn", "ssid", "qH", "marketplace", "srno",
+)
+SPACES, SYMBOLS, NOT_ASCII = r"[\x09-\x0D\x1C-\x20]+", r"[^a-z0-9_.\x09-\x0D\x1C-\x20-]", r"[^\x00-\x7F]"
+
+
+def foldings(end: int = 0x10000) -> tuple[str, str]:
+    """The letters before code point `end` whose compatibility decomposition leaves one ASCII character, and these characters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0x80, end) if not 0xD800 <= c < 0xE000]
+    kept = [(c, to) for c, to in pairs if len(to) == 1]
+    return "".join(c for c, _ in kept), "".join(to for _, to in kept)
+
+
+ACCENTS, PLAIN = foldings()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTS, PLAIN)
+    """Lower-case ASCII: accents fall, letters that decompose to one ASCII character become it, all others are left out."""
+    return F.lower(F.regexp_replace(F.translate(text, ACCENTS, PLAIN), NOT_ASCII, ""))
 
 
 def normalise_title(text: Column) -> Column:
-    """Folded, & as and, symbols and noise words out, single blanks."""
-    plain = F.regexp_replace(F.regexp_replace(fold(text), "&", " and "), "[^a-z0-9.+ ]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, NOISE, " "), " +", " "))
+    """Folded, & as and, symbols but - . _ and noise words out, single blanks."""
+    plain = F.regexp_replace(F.regexp_replace(fold(text), "&", " and "), SYMBOLS, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, NOISE, " "), SPACES, " "))
 
 
 def title_tokens(text: Column) -> Column:

@@ -11,7 +11,9 @@ from pricelore.sources.views import Domain
 registry = Registry()
 query = registry.query
 
-TITLE = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '{fn.ACCENTS}', '{fn.PLAIN}'), '&', ' and ', 'g'), '[^a-z0-9.+ ]', ' ', 'g'), '{fn.NOISE}', ' ', 'g'), ' +', ' ', 'g'))"""
+ESCAPED = [x.replace("'", "''") for x in (fn.ACCENTS, fn.PLAIN)]
+FOLDED = f"lower(regexp_replace(translate(text, '{ESCAPED[0]}', '{ESCAPED[1]}'), '{fn.NOT_ASCII}', '', 'g'))"
+TITLE = f"trim(regexp_replace(regexp_replace(regexp_replace(replace({FOLDED}, '&', ' and '), '{fn.SYMBOLS}', ' ', 'g'), '{fn.NOISE}', ' ', 'g'), '{fn.SPACES}', ' ', 'g'))"
 URL = r"""lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '')
 || CASE WHEN q <> '' THEN '?' || q ELSE '' END"""
 PAGES = rf"""given AS (SELECT *, array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT lower(regexp_extract(p, '^([^=]*)', 1)) IN ({", ".join(repr(t) for t in fn.TRACKING)}) AND NOT lower(p) LIKE 'utm\_%' ESCAPE '\'), '&') AS q FROM pages),
@@ -62,7 +64,7 @@ def f12_observation_hash(d: Domain):
     return d.observations.select("observation_id", F.sha2(key, 256).alias("observation_hash"))
 
 
-@query(f"SELECT doc_id, {ladder(f'''translate(lower(text), '{fn.ACCENTS}', '{fn.PLAIN}')''', fn.CATEGORY_RULES, 'unknown')} AS category FROM documents")
+@query(f"SELECT doc_id, {ladder(FOLDED, fn.CATEGORY_RULES, 'unknown')} AS category FROM documents")
 def f14_category(d: Domain):
     return d.table("documents").select("doc_id", fn.category_of(F.col("text")).alias("category"))
 

@@ -1,6 +1,9 @@
 """Small literal cases of the operators."""
 
 import datetime as dt
+import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +203,30 @@ def test_breaker_opens_and_closes(spark):
 def test_similarity_of_trigrams(spark):
     row = spark.createDataFrame([("word", "two words")], "a string, b string").select(catalog.similarity(catalog.trigrams(F.col("a")), catalog.trigrams(F.col("b"))).alias("s")).first()
     assert row.s == pytest.approx(4 / 11)
+
+
+TITLE_NOISE = re.compile(
+    r"\b(laptop|notebook|computer|pc|anti[\s-]?glare|backlit|thin|light|ultra[\s-]?slim|gaming|portable|slim|premium|business|standard|smartchoice|"
+    r"silver|black|grey|gray|blue|gold|natural|starry|midnight|moonlight|graphite|titanium|platinum|arctic|cool|mixed|mica|glacier|previously|powered\s+by|"
+    r"windows\s*\d*|home|office|microsoft|ms\b|with|for|and|the|best|new|latest|full\s*hd|fhd|wuxga|oled|ips|display|screen|inch|cm|kg)\b"
+)
+
+
+def plain_title(text):
+    t = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower().replace("&", " and ")
+    return re.sub(r"\s+", " ", TITLE_NOISE.sub(" ", re.sub(r"[^\w\s\-.]", " ", t)).strip())
+
+
+def test_titles_equal_a_plain_version(spark):
+    rng = random.Random(5)
+    words = ["HP", "Pavilion", "Laptop", "windows 11", "Full  HD", "anti-glare", "anti glare", "Ultra-Slim", "powered\tby", "15.6", "inch", "(2023)", "R&D", "&", "Ñandú", "écran", "Größe", "_x_", "a+b", "中文", "–", "ＷＩＤＥ", "ms", "MSI", "cm", "\x1c", " ", "i5-12450H", "'s", "½x", "naïve"]
+    given = ["".join(rng.choice(words) + rng.choice(["", " ", "  ", "-", "/", ","]) for _ in range(rng.randrange(8))).replace("½", "") for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", fn.normalise_title(F.col("t")).alias("x"), fn.title_tokens(F.col("t")).alias("y")).orderBy("i").collect()
+    assert [r.x for r in rows] == [plain_title(t) for t in given]
+    assert [r.y for r in rows] == [sorted({w for w in plain_title(t).split() if len(w) >= 2}) for t in given]
+
+
+def test_tracking_parameters_fall(spark):
+    given = ["https://www.amazon.in/dp/B0ABCDE123?tag=x", "https://www.amazon.in/dp/B0ABCDE123", "HTTPS://Shop.in//a//b/?srsltid=1&PID=5&utm_x=3&affid=7&otracker=z", "https://x.in/?qH=1"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", fn.normalise_url(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == ["https://www.amazon.in/dp/B0ABCDE123"] * 2 + ["https://shop.in/a/b?PID=5&affid=7", "https://x.in?qH=1"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pricelore.functions import offers as fn
+from pricelore.functions.text import NOISE
 from pricelore.operators import listings as op
 from pricelore.operators import matching, merging
 from pricelore.sources import records
@@ -65,8 +66,7 @@ def pairs(spark, titles):
 def plain_score(a, b):
     """The score of two rows of specifications, without capping by conflicts."""
     def words(t):
-        t = re.sub(r"\b(buy|online|best price|price in india|new|latest|with|offer|deal)\b", " ", re.sub("[^a-z0-9.+ ]", " ", t.lower()))
-        return " ".join(t.split())
+        return " ".join(re.sub(NOISE, " ", re.sub(r"[^\w\s\-.]", " ", t.lower())).split())
 
     x, y = words(a["title"]), words(b["title"])
     s, t = ({w for w in z.split() if len(w) > 1} for z in (x, y))
