@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from pricelore.operators import activity as counters
 from pricelore.operators import prices
+from pricelore.plans import rails
 from pricelore.plans.activity import HOURS, NOW
 from pricelore.plans.base import Registry
 from pricelore.plans.prices import DAYS
-from pricelore.sources.views import EVENTS_AS_OF, PLATFORMS, Domain, nth
+from pricelore.sources.views import EVENTS_AS_OF, PLATFORMS, VIEWS_SQL, Domain, nth
 from pricelore.streaming import activity as st
 
 registry = Registry()
@@ -59,6 +60,17 @@ def st9_breaker_stream(d: Domain):
     return st.latest(d.spark, f"{path}/out", ["platform"])
 
 
+@query(rails.registry.oracles["w12_saturation"].removeprefix(VIEWS_SQL))
+def st10_saturation_stream(d: Domain):
+    """The pages of w12_saturation as a stream."""
+    events = st.file_stream(d.spark, d.sf_dir, "events.parquet")
+    product = F.get_json_object("props", "$.k").cast("long")
+    pages = events.select(F.col("user_id").alias("run_id"), F.dayofmonth("ts").cast("long").alias("page_no"), (product % 9).alias("native_id"), F.col("ts").cast("timestamp").alias("ts"))
+    path = st.scratch(d.spark, "saturation")
+    st.kept_updates(st.page_saturation(pages), f"{path}/out", f"{path}/checkpoint", "append").awaitTermination()
+    return d.spark.read.parquet(f"{path}/out").select("run_id", "page_no", "n_ids", "n_new", "n_again", "stop")
+
+
 KINDS = """SELECT observation_id, listing_id, price, previous, CASE WHEN stock_before IS NULL THEN 'initial' WHEN stock = 'out_of_stock' AND stock_before <> 'out_of_stock' THEN 'out_of_stock'
   WHEN stock <> 'out_of_stock' AND stock_before = 'out_of_stock' THEN 'back_in_stock' WHEN price < previous THEN 'drop' WHEN price > previous THEN 'rise' ELSE 'unchanged' END AS kind
 FROM (SELECT *, lag(price) OVER w AS previous, lag(stock) OVER w AS stock_before FROM observations WHERE listing_id % 7 = 0 WINDOW w AS (PARTITION BY listing_id ORDER BY observed_at, observation_id))"""

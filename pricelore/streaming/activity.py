@@ -88,6 +88,42 @@ def breaker(checks: DataFrame, trip: int = 3, cooldown_hours: int = 6) -> DataFr
     return checks.groupBy("platform").applyInPandasWithState(step, out, "state string, streak long, opened long, skipped long, n long, until long", "update", "NoTimeout")
 
 
+def page_saturation(pages: DataFrame, streak: int = 3, ceiling: int = 40, idle: str = "6 hours", lateness: str = "1 day") -> DataFrame:
+    """For each run and page, n_ids, n_new, n_again and the reason to stop there, as rails.saturation() has them.
+
+    pages: a stream of run_id, page_no, native_id (null for an empty page), ts (timestamp); a run's pages come in order, each
+    whole in one micro-batch; pages up to the last one seen are late and left out. A run's state is the set of its ids, the
+    last page's ids, and two numbers; it goes once the stream's time (its latest ts less the lateness) is so long beyond the
+    run's last row.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        names = ["run_id", "page_no", "n_ids", "n_new", "n_again", "stop"]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, last, without, page = state.get if state.exists else ([], None, 0, None)
+        seen, out = set(seen), []
+        frame = pd.concat(list(frames))
+        for number, rows in frame.groupby("page_no"):
+            if page is not None and number <= page:
+                continue
+            ids = sorted({int(i) for i in rows["native_id"].dropna()})
+            fresh = len(set(ids) - seen)
+            without = 0 if fresh else without + 1
+            stop = "empty_page" if not ids else "repeated_page" if ids == last else "consecutive_no_new" if without >= streak else "emergency_ceiling" if number >= ceiling else None
+            seen |= set(ids)
+            last, page = ids, int(number)
+            out.append((key[0], page, len(ids), fresh, len(ids) - fresh, stop))
+        state.update((sorted(seen), last, without, page))
+        state.setTimeoutTimestamp(max(int(frame["ts"].max().value // 10**6) + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    out = "run_id long, page_no long, n_ids long, n_new long, n_again long, stop string"
+    return pages.withWatermark("ts", lateness).groupBy("run_id").applyInPandasWithState(step, out, "seen array<long>, last array<long>, without long, page long", "append", "EventTimeTimeout")
+
+
 def recompute(stream: DataFrame, keys: list[str], rebuild: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Starts a query that, for each micro-batch, rebuilds the rows of the keys that have changed and adds them to path.
 
@@ -102,13 +138,13 @@ def recompute(stream: DataFrame, keys: list[str], rebuild: Callable[[DataFrame],
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def kept_updates(stream: DataFrame, path: str, checkpoint: str):
+def kept_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
     """Starts a query that adds each micro-batch's updates to path, for `latest`."""
 
     def batch(df: DataFrame, number: int) -> None:
         df.withColumn("batch_id", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
