@@ -16,6 +16,8 @@ from pricelore.llm.common import written
 PIVOTS, NEAREST = 128, 48
 #: Vectors in a shard of the index, and queries in a block.
 SHARD, BLOCK = 1_024, 1_024
+#: Pairs whose cosines are worked out at once.
+PAIRS = 65_536
 #: Share of a shard that a query reranks, and the least number.
 CANDIDATES, LEAST = 0.4, 64
 
@@ -32,16 +34,16 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def cosines(vectors: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The cosines of the rows of vectors with one vector: each a sum in the order of the components, whatever rows stand beside it."""
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with that of b: sums in the order of the components, whatever rows stand beside it."""
     # by powers of two, which rounds nothing and keeps squares in range
-    vectors, own = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None]), np.ldexp(own, -np.frexp(np.abs(own).max())[1])
-    product, square, norm = np.zeros(len(vectors)), np.zeros(len(vectors)), 0.0
-    for i in range(vectors.shape[1]):
-        product += vectors[:, i] * own[i]
-        square += vectors[:, i] * vectors[:, i]
-        norm += own[i] * own[i]
-    return product / np.sqrt(square * norm)
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) for x in (a, b))
+    product, square, other = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        product += x * y
+        square += x * x
+        other += y * y
+    return product / np.sqrt(square * other)
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -106,24 +108,26 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     n_pivots = len(pivot)
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(q) and len(x):
-            x = x.sort_values("vec_id", kind="stable")
-            ids, vectors = x["vec_id"].to_numpy(), np.stack(x["vector"].to_list())
-            units, asked = unit(vectors), np.stack(q["vector"].to_list())
-            order = np.stack(x["pivots"].to_list())
-            many = min(len(ids), max(LEAST, int(np.ceil(candidates * len(ids)))))
-            wanted = zip(q["vec_id"].tolist(), asked, unit(asked), footrule(np.stack(q["pivots"].to_list()), order, n_pivots), strict=True)
-            for query_id, own, unit_own, far in wanted:
-                near = np.flatnonzero(far <= np.partition(far, many - 1)[many - 1])  # all at the same distance as the last
-                near = near[ids[near] != query_id]
-                rough = units[near] @ unit_own
-                if len(near) > k:  # what can be among the first k once rounding is put right
-                    near = near[rough >= np.partition(rough, -k)[-k] - 1e-9]
-                score = cosines(vectors[near], own)
-                best = np.lexsort((ids[near], -score))[:k]
-                found += zip([query_id] * len(best), ids[near][best].tolist(), score[best].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        x = x.sort_values("vec_id", kind="stable")
+        ids, vectors = x["vec_id"].to_numpy(), np.stack(x["vector"].to_list())
+        units, own = unit(vectors), np.stack(q["vector"].to_list())
+        order, query_ids, hits = np.stack(x["pivots"].to_list()), q["vec_id"].to_numpy(), []
+        many = min(len(ids), max(LEAST, int(np.ceil(candidates * len(ids)))))
+        for query_id, asked_unit, far in zip(query_ids.tolist(), unit(own), footrule(np.stack(q["pivots"].to_list()), order, n_pivots), strict=True):
+            near = np.flatnonzero(far <= np.partition(far, many - 1)[many - 1])  # all at the same distance as the last
+            near = near[ids[near] != query_id]
+            rough = units[near] @ asked_unit
+            if len(near) > k:  # what can be among the first k once rounding is put right
+                near = near[rough >= np.partition(rough, -k)[-k] - 1e-9]
+            hits.append(near)
+        query, near = np.repeat(np.arange(len(hits)), list(map(len, hits))), np.concatenate(hits)
+        score = np.concatenate([cosines(vectors[near[i : i + PAIRS]], own[query[i : i + PAIRS]]) for i in range(0, len(near), PAIRS)] or [np.zeros(0)])
+        best = np.lexsort((ids[near], -score, query))
+        begin = np.searchsorted(query[best], np.arange(len(hits)))
+        best = best[np.arange(len(best)) - begin[query[best]] < k]
+        return pd.DataFrame({"query_id": query_ids[query[best]], "vec_id": ids[near[best]], "score": score[best]})
 
     near = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
     ranked = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
