@@ -138,7 +138,7 @@ def s6_nested_export(d: Domain):
     days = prices.daily_best(d.platform_days).withColumnRenamed("price", "best_price")
     rows = op.nested_export(d.products.select("product_id"), offers, days)
     entries = F.transform(F.map_entries("platforms"), lambda e: F.concat_ws(":", e["key"], e["value"]["price"].cast("string")))
-    return rows.select("product_id", F.array_join(entries, ",").alias("platforms"), F.size("history").cast("long").alias("n_history"), F.aggregate("history", F.lit(0).cast("long"), lambda a, x: a + x["best_price"]).alias("history_sum"))
+    return rows.select("product_id", F.array_join(entries, ",").alias("platforms"), F.when(F.col("history").isNull(), 0).otherwise(F.size("history")).cast("long").alias("n_history"), F.aggregate("history", F.lit(0).cast("long"), lambda a, x: a + x["best_price"]).alias("history_sum"))
 
 
 @query(f"""SELECT product_id, {", ".join(f"min(CASE WHEN platform = '{p}' THEN price END) AS {p}" for p in PLATFORMS)} FROM listings GROUP BY product_id""")

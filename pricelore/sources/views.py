@@ -50,14 +50,18 @@ class Domain:
 
     @cached_property
     def observations(self) -> DataFrame:
-        """observation_id, listing_id, product_id, platform, observed_at, day, price, mrp, stock, match_status."""
+        """observation_id, listing_id, product_id, platform, observed_at, day, price, mrp, stock, match_status.
+
+        The listings of each 29th product have moved to the one before; each 31st is sold in one shop alone.
+        """
+        product = F.col("l_partkey") - (F.col("l_partkey") % 29 == 7).cast("int")
         line = self.table("lineitem")
         listed = F.round(F.col("l_extendedprice") * 100).cast("long")
         quantity = F.col("l_quantity").cast("long")
         paid = 100 - F.round(F.col("l_discount") * 100).cast("long")
         return line.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observation_id"), (F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("listing_id"),
-            F.col("l_partkey").alias("product_id"), nth(PLATFORMS, F.col("l_suppkey")).alias("platform"), F.col("l_shipdate").alias("observed_at"),
+            product.alias("product_id"), nth(PLATFORMS, F.when(F.col("l_partkey") % 31 == 1, F.col("l_partkey")).otherwise(F.col("l_suppkey"))).alias("platform"), F.col("l_shipdate").alias("observed_at"),
             F.to_date("l_shipdate").alias("day"), F.call_function("div", listed * paid, 100 * quantity).alias("price"), F.call_function("div", listed, quantity).alias("mrp"),
             F.when(F.col("l_returnflag") == "R", "out_of_stock").otherwise("in_stock").alias("stock"),
             F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 5 == 0), "needs_review").otherwise("matched").alias("match_status"),
@@ -130,8 +134,8 @@ WITH products AS (
     CASE WHEN p_partkey % 17 = 0 THEN 'merged' ELSE 'active' END AS status, {sql_nth(COLORS, "p_partkey")} AS color
   FROM part),
 observations AS (
-  SELECT l_orderkey * 10 + l_linenumber AS observation_id, l_partkey * 10000 + l_suppkey AS listing_id, l_partkey AS product_id,
-    {sql_nth(PLATFORMS, "l_suppkey")} AS platform, l_shipdate AS observed_at, CAST(l_shipdate AS DATE) AS day,
+  SELECT l_orderkey * 10 + l_linenumber AS observation_id, l_partkey * 10000 + l_suppkey AS listing_id, l_partkey - CASE WHEN l_partkey % 29 = 7 THEN 1 ELSE 0 END AS product_id,
+    {sql_nth(PLATFORMS, "CASE WHEN l_partkey % 31 = 1 THEN l_partkey ELSE l_suppkey END")} AS platform, l_shipdate AS observed_at, CAST(l_shipdate AS DATE) AS day,
     (CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) // (100 * CAST(l_quantity AS BIGINT)) AS price,
     CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS mrp,
     CASE WHEN l_returnflag = 'R' THEN 'out_of_stock' ELSE 'in_stock' END AS stock,
