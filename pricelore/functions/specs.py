@@ -98,18 +98,18 @@ def brand(title: Column) -> Column:
     return F.coalesce(of[line], F.get(F.array_intersect(strings(BRANDS), tokens), F.lit(0)))
 
 
-def ram_gb(title: Column) -> Column:
+def ram_gb(title: Column, sizes: tuple[int, ...] = RAM_SIZES) -> Column:
     """The largest size of memory named, GB with nothing of storage after it."""
     hits = F.transform(F.filter(F.regexp_extract_all(folded(title), F.lit(RAM)), lambda x: x.rlike("gb$")), lambda x: F.regexp_extract(x, "^([0-9.]+)", 1))
-    known = F.filter(hits, lambda x: x.isin([str(n) for n in RAM_SIZES]))
+    known = F.filter(hits, lambda x: x.isin([str(n) for n in sizes]))
     return F.array_max(F.transform(known, lambda x: x.cast("int")))
 
 
-def storage_gb(title: Column) -> Column:
+def storage_gb(title: Column, ram_sizes: tuple[int, ...] = RAM_SIZES) -> Column:
     """The largest size of 32 GB or more that isn't the memory's."""
     number = lambda x: F.regexp_extract(x, r"^([0-9.]+)", 1).cast("double")
     sizes = F.transform(F.regexp_extract_all(folded(title), F.lit(STORAGE)), lambda x: F.floor(F.when(x.rlike("tb$"), number(x) * 1024).otherwise(number(x))).cast("int"))
-    return F.array_max(F.filter(sizes, lambda x: (x >= 32) & (x != F.coalesce(ram_gb(title), F.lit(-1)))))
+    return F.array_max(F.filter(sizes, lambda x: (x >= 32) & (x != F.coalesce(ram_gb(title, ram_sizes), F.lit(-1)))))
 
 
 def screen_inch(title: Column) -> Column:
