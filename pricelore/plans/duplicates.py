@@ -12,6 +12,7 @@ from pricelore.plans import categories as phones
 from pricelore.plans.base import Registry
 from pricelore.plans.matching import CPU_SQL, IDENTITIES_SQL, TIER_SQL, titles
 from pricelore.sources.views import Domain
+from pricelore.streaming.activity import kept
 
 registry = Registry()
 query = registry.query
@@ -58,4 +59,4 @@ SELECT group_id, category, n, CASE WHEN category = 'smartphone' AND colors THEN
   WHEN own_colors <= 1 AND rams <= 1 AND storages <= 1 THEN CASE WHEN natives > 1 OR urls > 1 THEN 'B' ELSE 'A' END ELSE 'J' END AS cause
 FROM pairs JOIN counted USING (group_id) WHERE n > 0""")
 def r8_duplicate_causes(d: Domain):
-    return op.causes(offers(d))
+    return op.causes(kept(offers(d), "r8-offers"))  # read by three branches: specifications are found once
