@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
+#: Bytes of texts that are encoded together, and at most one text more.
+BLOCK_BYTES = 8 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[bytes]], end_id: int = 2, stripe_bytes: int = 16 << 20, stride: int = 1000) -> None:
@@ -28,13 +32,15 @@ def write_tokens(docs: DataFrame, path: str, encode: Callable[[list[str | None]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, begin = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids = [x + end for x in encode(batch.column(1).slice(at, 512).to_pylist())]
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = (np.flatnonzero(np.diff(sizes // BLOCK_BYTES)) + 1).tolist()
+            for at, to in pairwise([0, *cuts, batch.num_rows] if batch.num_rows else []):
+                ids = [x + end for x in encode(batch.column(1).slice(at, to - at).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(n)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                columns = [pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(at, 512), pa.array(begin + ends - n), pa.array(n), lists]
+                columns = [pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(at, to - at), pa.array(begin + ends - n), pa.array(n), lists]
                 begin += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -6,14 +6,20 @@ import base64
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces in each of the two generations that a Python worker remembers; the older one is forgotten when the younger is full.
-REMEMBERED = 600_000
+#: Pieces of rare characters in each of the two generations that a Python worker remembers; the older one is forgotten when the younger is full.
+REMEMBERED = 100_000
 #: Pieces that one call of the tokenizer gets at most.
 AT_ONCE = 4_000
+#: Latin, Greek, Cyrillic, punctuation, currencies and arrows, whose case and kind Python and the tokenizer see alike and which NFC leaves; tests try each.
+RANGES = ((0x00, 0x1C), (0x20, 0x130), (0x131, 0x300), (0x370, 0x374), (0x375, 0x37E), (0x384, 0x387), (0x388, 0x3A2), (0x3A4, 0x483), (0x48A, 0x530), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0), (0x2190, 0x2200))
+COMMON = [c for a, b in RANGES for c in map(chr, range(a, b)) if unicodedata.category(c) != "Cn" and any(x <= ord(c.lower()) < y for x, y in RANGES)]
 
 
 class Special:
@@ -27,11 +33,41 @@ class Special:
         return self.beginning in text and self.pattern.search(text) is not None
 
 
+class WordRanks:
+    """The ids of many texts of COMMON characters by the ranks of the word tokenizer's vocabulary.
+
+    The tokenizer drops white space, and its merges begin with each word's last byte and the end of the word. Here a blank
+    is that end: ids are in the order of the merges, and each token is what the merges make of its own bytes, so that
+    merging by rank gives the same ids.
+    """
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(of[c] for c in x.removesuffix("</w>")) + b" " * x.endswith("</w>"): i for x, i in vocabulary.items()}
+        self.encoding, self.end = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}), ranks[b"\n "]
+        letters, numbers = (re.escape("".join(c for c in COMMON if unicodedata.category(c)[0] == kind)) for kind in "LN")
+        self.words = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+        self.other = re.compile(f"[^{re.escape(''.join(COMMON))}]")
+
+    def __call__(self, lines: str) -> pa.LargeBinaryArray:
+        """lines: texts of COMMON characters, each with a line end after it."""
+        words = self.words.findall(lines.lower())
+        ids = self.encoding.encode_to_numpy(" ".join([*words, ""]), disallowed_special=()).astype("<u4", copy=False)
+        ends = ids == self.end
+        at = np.flatnonzero(ends)
+        offsets = np.concatenate([[0], 4 * (at - np.arange(len(at)))])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(ids[~ends])])
+
+
 class WordEncoder:
-    """Encodes a text as the ids of its blank-separated pieces, each encoded by the tokenizer once and then remembered.
+    """Encodes texts as the ids of their blank-separated pieces, each different one once a call.
 
-    For tokenizers that drop white space before BPE, and start anew after it: cutting there changes no id. A comma or a
-    full stop after a letter starts anew too.
+    For tokenizers that drop white space before BPE, and start anew after it: cutting there changes no id. Pieces of
+    common characters go by WordRanks, others by the tokenizer, and are remembered.
     """
 
     def __init__(self, path: str):
@@ -44,9 +80,7 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
         self.odd = re.compile(r"[\s\x00]")
         self.mark_id = self.plain("\x00")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ranks = WordRanks(self.tokenizer.get_vocab(with_added_tokens=False))
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -59,20 +93,6 @@ class WordEncoder:
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def letters(self, texts: list[str]) -> list[bytes]:
-        """Ids of many texts of letters only, by few calls: joined by blanks, and cut after each token that ends a word."""
-        found: list[bytes] = []
-        for at in range(0, len(texts), AT_ONCE):
-            part = texts[at : at + AT_ONCE]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(cuts) != len(part):
-                found += map(self.plain, part)
-                continue
-            raw = ids.tobytes()
-            found += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return found
-
     def together(self, texts: list[str]) -> list[bytes]:
         """Ids of many texts without white space inside, by few calls: joined by a mark that always is one token."""
         found: list[bytes] = []
@@ -96,34 +116,36 @@ class WordEncoder:
         new = used.difference(self.young)
         if len(self.young) + len(new) > REMEMBERED:
             self.old, self.young, new = self.young, {}, used
-        young, old, cores, tails = self.young, self.old, {}, []
-        for key in new:
-            if key in old:
-                young[key] = old[key]
-                continue
-            end = key[-1:] if key[-1:] in (",", ".") and key[-2:-1].lower().isalpha() else ""
-            core = key[:-1] if end else key
-            core = core.lower() if core.isascii() else core
-            tails.append((key, core, end))
-            cores[core] = None
-        cores.pop("", None)
-        runs = [t for t in cores if t.lower().isalpha()]
-        cores.update(zip(runs, self.letters(runs), strict=True))
-        simple = [t for t, ids in cores.items() if ids is None and not self.odd.search(t)]
-        cores.update(zip(simple, self.together(simple), strict=True))
-        cores[""] = b""
-        ends = {"": b"", ",": self.plain(","), ".": self.plain(".")}
-        for key, core, end in tails:
-            if cores[core] is None:
-                cores[core] = self.plain(core)
-            young[key] = cores[core] + ends[end]
+        self.young.update((key, self.old[key]) for key in new.intersection(self.old))
+        new = new.difference(self.young)
+        simple = [key for key in new if not self.odd.search(key)]
+        self.young.update(zip(simple, self.together(simple), strict=True))
+        self.young.update((key, self.plain(key)) for key in new.difference(simple))
+
+    def pieces(self, different: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of pieces without white space of ASCII."""
+        ended = pc.binary_join_element_wise(different, pa.scalar("", different.type), pa.scalar("\n", different.type))
+        lines = str(memoryview(ended.buffers()[2])[: int(np.frombuffer(ended.buffers()[1], np.int64)[len(ended)])], "utf-8")
+        if not self.ranks.other.search(lines):
+            return self.ranks(lines)
+        texts = lines[:-1].split("\n")
+        rare = np.array([self.ranks.other.search(x) is not None for x in texts])
+        common, others = ([x for x, y in zip(texts, rare, strict=True) if y == kind] for kind in (False, True))
+        self.learn(set(others))
+        found = [self.ranks("\n".join([*common, ""])), pa.array(map(self.young.__getitem__, others), pa.large_binary())]
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(rare, kind="stable"))))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if t and self.special.inside(t)}
-        cut = [t.replace("\n", " ").split(" ") if t and i not in odd else [] for i, t in enumerate(texts)]
-        self.learn(set().union(*cut))
-        get = self.young.__getitem__
-        return [self.whole(texts[i]) if i in odd else b"".join(map(get, parts)) for i, parts in enumerate(cut)]
+        plain = pa.array(["" if not t or i in odd else t for i, t in enumerate(texts)], pa.large_string())
+        cut = pc.ascii_split_whitespace(plain)
+        all_pieces = cut.flatten().dictionary_encode()
+        if not len(all_pieces):
+            return []
+        ids = self.pieces(all_pieces.dictionary).take(all_pieces.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[cut.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2])
+        return [self.whole(texts[i]) if i in odd else bytes(raw[a:b]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
 
 
 @lru_cache(maxsize=2)

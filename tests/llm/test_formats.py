@@ -47,6 +47,32 @@ def test_word_encoder_forgets_and_stays_right(monkeypatch):
         assert np.frombuffer(encoder([text])[0], "<u4").tolist() == reference_ids("word_bpe_49k.json", text)
 
 
+def test_word_encoder_remembers_rare_characters_only():
+    """What a worker remembers doesn't grow with the corpus' common words (they took 1 GB and more of an executor)."""
+    from pricelore.llm import tokens
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + f" Ünique{i}, 世{i % 7}" for i in range(3000)]
+    got = encoder(texts)
+    assert len(encoder.young) + len(encoder.old) <= 7
+    for i in (0, 1, 26, 2999):
+        assert np.frombuffer(got[i], "<u4").tolist() == reference_ids("word_bpe_49k.json", texts[i])
+
+
+def test_word_ranks_equal_the_tokenizer_by_character_and_token():
+    """Each common character between letters, digits and marks, and each token's own text."""
+    from tokenizers import Tokenizer
+
+    from pricelore.llm import tokens
+
+    encoder, own = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"x{c}Y {c}1{c}{c}2 ,{c}, '{c}S" for c in [*tokens.COMMON, *"\u0130\u03a3\u0301\u037e\u2028\u212a\x1c世😀"]]
+    texts += [own.decode([i]) for i in range(own.get_vocab_size())] + ["", None, " ", "\n", "a" * 3000, "ʼn's It'LL''s ǅ"]
+    pairs = zip(encoder(texts), own.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True)
+    assert [t for t, (x, y) in zip(texts, pairs, strict=True) if np.frombuffer(x, "<u4").tolist() != y.ids] == []
+    assert encoder(["", None]) == [b"", b""] and encoder([]) == []
+
+
 @pytest.mark.parametrize("block", [1, 100, 10**7])
 def test_packing_holds_each_id_once(spark, block):
     rows = TEXTS + [(100 + i, "ab " * (i * 7 % 1500)) for i in range(60)]
