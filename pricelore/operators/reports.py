@@ -104,18 +104,21 @@ def watch_events(watches: DataFrame, events: DataFrame) -> DataFrame:
     events: product_id, kind, price, previous, stock (price_events). A drop is meaningful from 2 % or 500 units; a product out
     of stock is never at its target. The fingerprint makes each event unique.
     """
-    rows = watches.join(events, "product_id")
+    each = watches.groupBy("user_id", "product_id").agg(F.collect_set("target").alias("targets"), F.max("notify_on_drop").alias("notify_on_drop"))
+    kind = lambda name: F.coalesce(F.max(F.col("kind") == name), F.lit(False)).alias(name)
+    # equal events and equal watches are one row before they meet, so that what comes out is different as it is
+    rows = each.join(events.groupBy("product_id", "price", "previous", "stock").agg(kind("back_in_stock"), kind("out_of_stock")), "product_id")
     stocked = F.col("stock") != "out_of_stock"
     fall = F.col("previous") - F.col("price")
     rules = {
-        "AT_TARGET": stocked & (F.col("price") <= F.col("target")) & (F.col("previous").isNull() | (F.col("previous") > F.col("target"))),
+        "AT_TARGET": stocked & F.exists("targets", lambda t: (F.col("price") <= t) & (F.col("previous").isNull() | (F.col("previous") > t))),
         "PRICE_DROP": F.col("notify_on_drop") & stocked & ((fall * 50 >= F.col("previous")) | (fall >= 50_000)) & (fall > 0),
-        "BACK_IN_STOCK": F.col("kind") == "back_in_stock", "OUT_OF_STOCK": F.col("kind") == "out_of_stock",
+        "BACK_IN_STOCK": F.col("back_in_stock"), "OUT_OF_STOCK": F.col("out_of_stock"),
     }
     kinds = F.filter(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules.items())), lambda x: x.isNotNull())
     rows = rows.withColumn("event", F.explode(kinds))
     key = F.concat_ws("|", F.col("user_id").cast("string"), F.col("product_id").cast("string"), "event", F.col("price").cast("string"), F.coalesce(F.col("previous").cast("string"), F.lit("")), "stock")
-    return rows.withColumn("fingerprint", F.sha2(key, 256)).dropDuplicates(["fingerprint"]).select("user_id", "product_id", "event", "price", "previous", "stock", "fingerprint")
+    return rows.select("user_id", "product_id", "event", "price", "previous", "stock", F.sha2(key, 256).alias("fingerprint"))
 
 
 def watch_states(watches: DataFrame, best: DataFrame, latest: DataFrame) -> DataFrame:
