@@ -85,11 +85,7 @@ def observed(d: Domain):
 def st5_price_kinds_stream(d: Domain):
     rows = observed(d).select("listing_id", "observation_id", F.col("observed_at").cast("timestamp").alias("observed_at"), "price", "stock")
     path = st.scratch(d.spark, "kinds")
-
-    def keep(df, number):
-        df.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-
-    st.price_kinds(rows).writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    st.price_kinds(rows, path, f"{path}/checkpoint").awaitTermination()
     return d.spark.read.parquet(f"{path}/out").select("observation_id", "listing_id", "price", "previous", "kind")
 
 

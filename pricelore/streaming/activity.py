@@ -28,38 +28,48 @@ def hourly_counts(activity: DataFrame, lateness: str = "2 hours") -> DataFrame:
     return once.groupBy(F.window("ts", "1 hour").alias("window"), "product_id", "event_type").agg(F.count("*").alias("n"))
 
 
-def price_kinds(observations: DataFrame) -> DataFrame:
-    """Each observation's kind against the last one of its listing, with a small state for each listing.
-
-    observations: a stream of listing_id, observation_id, observed_at (timestamp), price, stock. Rows of one micro-batch are
-    taken in the order of time; ones older than the state's are counted as late and have no kind.
+def kinds_after(rows: DataFrame, last: DataFrame | None) -> DataFrame:
+    """Kinds of observations (listing_id, observation_id, observed_at, price, stock) after the last ones of their listings (listing_id, at, price, stock)."""
+    none = {"last_at": "timestamp", "last_price": "long", "last_stock": "string"}
+    if last is None:
+        rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    else:
+        rows = rows.join(last.select("listing_id", F.col("at").alias("last_at"), F.col("price").alias("last_price"), F.col("stock").alias("last_stock")), "listing_id", "left")
+    rows = rows.withColumn("late", F.coalesce(F.col("observed_at") < F.col("last_at"), F.lit(False)))
+    own = Window.partitionBy("listing_id", "late").orderBy("observed_at", "observation_id")
+    first = F.col("late") | (F.row_number().over(own) == 1)
+    rows = rows.withColumns({"fresh": first & F.col("last_at").isNull(), "previous": F.when(first, F.col("last_price")).otherwise(F.lag("price").over(own)), "before": F.when(first, F.col("last_stock")).otherwise(F.lag("stock").over(own))})
+    out, was = F.col("stock") == "out_of_stock", F.col("before") == "out_of_stock"
+    kind = (
+        F.when(F.col("late"), "late").when(F.col("fresh"), "initial").when(out & ~was, "out_of_stock").when(~out & was, "back_in_stock")
+        .when(F.col("price") < F.col("previous"), "drop").when(F.col("price") > F.col("previous"), "rise").otherwise("unchanged")
+    )
+    return rows.select("listing_id", "observation_id", "price", "previous", kind.alias("kind"))
+
+
+def last_after(rows: DataFrame, last: DataFrame | None) -> DataFrame:
+    """listing_id, at, price, stock: the last observation of each listing once rows have come; of equal moments the later batch's counts."""
+    seen = rows.select("listing_id", F.struct(F.col("observed_at").alias("at"), F.lit(1).alias("n"), F.col("observation_id").alias("o"), "price", "stock").alias("x"))
+    if last is not None:
+        seen = seen.unionByName(last.select("listing_id", F.struct("at", F.lit(0).alias("n"), F.lit(0).cast("long").alias("o"), "price", "stock").alias("x")))
+    return seen.groupBy("listing_id").agg(F.max("x").alias("x")).select("listing_id", "x.at", "x.price", "x.stock")
+
+
+def price_kinds(observations: DataFrame, path: str, checkpoint: str):
+    """Starts a query that adds each observation's kind, against the last one of its listing, to path/out.
+
+    observations: a stream of listing_id, observation_id, observed_at (timestamp), price, stock. Rows of one micro-batch are taken in the order of
+    time; ones older than the listing's last are late and have no other kind. The listings' last observations are a table for each
+    micro-batch (path/last), made of the one before; a batch that runs again overwrites its own. A batch is two shuffles, whatever its number of listings.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["observed_at", "observation_id"])
-        for r in rows.itertuples():
-            at = int(r.observed_at.value // 1000)
-            if last and at < last[0]:
-                kind = "late"
-            elif last is None:
-                kind = "initial"
-            elif r.stock == "out_of_stock" and last[2] != "out_of_stock":
-                kind = "out_of_stock"
-            elif r.stock != "out_of_stock" and last[2] == "out_of_stock":
-                kind = "back_in_stock"
-            else:
-                kind = "drop" if r.price < last[1] else "rise" if r.price > last[1] else "unchanged"
-            out.append((key[0], int(r.observation_id), int(r.price), last[1] if last else None, kind))
-            if kind != "late":
-                last = (at, int(r.price), r.stock)
-        state.update(last)
-        yield pd.DataFrame(out, columns=["listing_id", "observation_id", "price", "previous", "kind"]).astype({"previous": "Int64"})
-
-    return observations.groupBy("listing_id").applyInPandasWithState(
-        step, "listing_id long, observation_id long, price long, previous long, kind string", "at long, price long, stock string", "append", "NoTimeout"
-    )
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        last = spark.read.parquet(f"{path}/last/batch={number - 1}") if number else None
+        kinds_after(df, last).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        last_after(df, last).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
+
+    return observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def breaker(checks: DataFrame, trip: int = 3, cooldown_hours: int = 6) -> DataFrame:

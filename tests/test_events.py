@@ -1,10 +1,13 @@
 """Events of watches and kinds of price events, against plain versions."""
 
+import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelore.operators import reports
+from pricelore.streaming import activity
 
 
 def test_watch_events_are_different_without_a_shuffle_of_them(spark):
@@ -30,3 +33,25 @@ def test_watch_events_are_different_without_a_shuffle_of_them(spark):
     assert len(rows) == len(wanted) and {r[:6] for r in rows} == wanted and len({r[6] for r in rows}) == len(rows)
     plan = found.select(F.col("fingerprint"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Aggregate")  # nothing is grouped after the events are made
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_kinds_of_a_stream_equal_a_plain_pass(spark, tmp_path, files):
+    """Several micro-batches, late rows, equal moments; no listing is a call of Python."""
+    rng = random.Random(files)
+    rows = [(rng.randrange(6), i, dt.datetime(2024, 1, rng.randrange(1, 9)), rng.choice([10, 20]), rng.choice(["in_stock", "out_of_stock"])) for i in range(120)]
+    schema = "listing_id long, observation_id long, observed_at timestamp, price long, stock string"
+    last, wanted = {}, []
+    for n in range(files):
+        part = rows[n * 120 // files : (n + 1) * 120 // files]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for listing, i, at, price, stock in sorted(part, key=lambda r: (r[2], r[1])):
+            at_, was, before = last.get(listing, (None, None, None))
+            late = at_ is not None and at < at_
+            moved = "out_of_stock" if stock != before == "in_stock" else "back_in_stock" if stock != before else "drop" if price < was else "rise" if price > was else "unchanged"
+            wanted.append((listing, i, price, was, "late" if late else "initial" if at_ is None else moved))
+            last[listing] = last[listing] if late else (at, price, stock)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    activity.price_kinds(stream, f"{tmp_path}/kinds", f"{tmp_path}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/kinds/out").select("listing_id", "observation_id", "price", "previous", "kind")
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, wanted))
